@@ -85,3 +85,29 @@ def mix_sources(
     t = targets.select(F.col("source").alias("__source"), "source_size", "target")
     out = ordered.join(t, F.col("source").eqNullSafe(F.col("__source")))
     return out.select(F.col("id").alias(id_col), "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+
+
+def apply_mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of ``df`` once for each time that it is taken whole, and, where a source's budget ends
+    inside it, once with its first words only. All columns of ``df``, in its types.
+
+    Rows that share id, source and size are given their shares in any order.
+    """
+    taken = mix_sources(df, weights, share, most, seed, id_col, text_col, source_col)
+    rank = F.row_number().over(Window.partitionBy(id_col, "source", "size").orderBy("taken"))
+    shares = taken.select(F.col(id_col).alias("__id"), F.col("source").alias("__s"), F.col("size").alias("__n"), "taken", rank.alias("__r")).where("taken > 0")
+    carried = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    counted = word_counts(df, carried, text_col)
+    own_id, own_source, own_text = (F.col(carried[c]) for c in (id_col, source_col, text_col))
+    ranked = counted.withColumn("__k", F.row_number().over(Window.partitionBy(own_id, own_source, "size").orderBy(own_text)))
+    join = own_id.eqNullSafe(F.col("__id")) & own_source.eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__n")) & (F.col("__k") == F.col("__r"))
+    mixed = ranked.join(shares, join).withColumn("__left", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))))
+    part = F.least(F.col("size"), F.col("taken") - F.col("__left") * F.col("size"))
+    cut = F.when(part < F.col("size"), first_words(own_text, part)).otherwise(own_text)
+    return mixed.select(*(cut.alias(c) if c == text_col else F.col(carried[c]).alias(c) for c in df.columns))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """The text up to the end of its n-th word."""
+    parts = F.regexp_extract_all(text, F.lit(r"([\x20\x09-\x0D]*[^\x20\x09-\x0D]+)"), 1)
+    return F.array_join(F.slice(parts, 1, n.cast("int")), "")

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, dedup, langid, mixing
+from tessera.llm import attribution, bpe, ctw, dedup, imi, jaccard, langid, mixing, substring, urlfilter
 from tessera.llm._shared import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -17,20 +18,52 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_duplicates(documents(spark, sf_dir))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imi.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), k=20)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(documents(spark, sf_dir), k=3, percent=90)
+
+
+def op7_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.crc32(F.col("id").cast("string").cast("binary")) % 10 == 0
+    return ctw.score_documents(documents(spark, sf_dir), held)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attribution.count_by_line(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), "start")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(documents(spark, sf_dir), k=13)
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op3_mixing": op3_mixing, "op5_language_id": op5_language_id, "op9_bpe": op9_bpe}
+    every = [op1_exact_dedup, op2_url_filter, op3_mixing, op4_ann, op5_language_id, op6_jaccard_join, op7_ctw, op8_token_counts, op9_bpe, op10_substring_dedup, pipeline]
+    return {q.__name__: q for q in every}
 
 
 OP1_SQL = """
