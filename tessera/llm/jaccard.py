@@ -211,12 +211,12 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, orders: int =
     while True:
         group = met.join(label, "cls")
         alive = group.groupBy("token").agg(F.count("*").alias("size"), F.min("cls").alias("least"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "size", "least")
-        group = s.write(group.join(alive, "token"))
-        if not group.limit(1).count():
+        stored = s.write(group.join(alive, "token"))
+        if not stored.limit(1).count():
             break
         drawn = F.pmod(F.xxhash64(F.lit(r), "cls"), F.col("size")) < F.lit(4**r) if r else F.lit(False)
         pivot = (F.col("size") <= SMALL) | (F.col("cls") == F.col("least")) | drawn
-        group = group.withColumn("pivot", pivot)
+        group = stored.withColumn("pivot", pivot)
         a = group.where("pivot").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
         b = group.select("token", F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("comp").alias("cb"), F.col("pivot").alias("pb"))
         fit = (F.col("a") != F.col("b")) & (~F.col("pb") | (F.col("a") < F.col("b"))) & (F.col("ca") != F.col("cb")) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
@@ -230,7 +230,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, orders: int =
         found = components(s, ends)
         then = s.write(label.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")))
         rest = s.write(group.where("not pivot").select("token", "cls", "n"))
-        s.drop(met, label, group, pairs, links)
+        s.drop(met, label, stored, pairs, links)
         met, label = rest, then
         s.free_shuffles()
         r += 1
