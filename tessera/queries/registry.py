@@ -1,4 +1,4 @@
-"""All queries of the engine's own operators."""
+"""All queries of the engine's own operators, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.queries import relational, searches, streams, transforms
+
+_ALL = {**searches.QUERIES, **transforms.QUERIES_SQL, **streams.QUERIES, **relational.QUERIES}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: run for name, (run, _) in _ALL.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in _ALL.items()}
