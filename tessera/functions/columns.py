@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from tessera.functions import kernels
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once for a row, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def _sum(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -28,26 +33,27 @@ def mean(s: Column) -> Column:
 
 def deviation(s: Column) -> Column:
     """Population standard deviation."""
-    m = mean(s)
-    return F.sqrt(_sum(F.transform(doubles(s), lambda x: (x - m) * (x - m))) / F.size(s))
+    return let(doubles(s), lambda v: let(mean(v), lambda m: F.sqrt(_sum(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v))))
 
 
 def z_normalize(s: Column) -> Column:
-    m, d = mean(s), deviation(s)
-    return F.transform(doubles(s), lambda x: F.when(d > 0, (x - m) / d).otherwise(F.lit(0.0)))
+    def body(v: Column) -> Column:
+        return let(F.struct(mean(v).alias("m"), deviation(v).alias("d")), lambda t: F.transform(v, lambda x: F.when(t["d"] > 0, (x - t["m"]) / t["d"]).otherwise(F.lit(0.0))))
+
+    return let(doubles(s), body)
 
 
 def segment(s: Column, dim: int, segments: int, i: int) -> Column:
     e = kernels.edges(dim, segments)
-    return F.slice(doubles(s), int(e[i]) + 1, int(e[i + 1] - e[i]))
+    return F.slice(s, int(e[i]) + 1, int(e[i + 1] - e[i]))
 
 
 def paa(s: Column, dim: int, segments: int) -> Column:
-    return F.array(*(mean(segment(s, dim, segments, i)) for i in range(segments)))
+    return let(doubles(s), lambda v: F.array(*(mean(segment(v, dim, segments, i)) for i in range(segments))))
 
 
 def symbolize(means: Column, cuts: Column) -> Column:
-    return F.transform(means, lambda m: F.size(F.filter(cuts, lambda c: c < m)))
+    return let(cuts, lambda k: F.transform(means, lambda m: F.size(F.filter(k, lambda c: c < m))))
 
 
 def symbol_at_bits(symbol: Column, bits: int, full: int) -> Column:
@@ -61,6 +67,10 @@ def root_mask(word: Column, bits: int) -> Column:
 
 def z_key_hex(word: Column, segments: int, bits: int) -> Column:
     """The z-order key in hexadecimal; its length is a whole number of bytes."""
+    return let(word, lambda w: _z_key_hex(w, segments, bits))
+
+
+def _z_key_hex(word: Column, segments: int, bits: int) -> Column:
     planes = [F.shiftright(F.get(word, s), b).bitwiseAND(1).cast("string") for b in range(bits - 1, -1, -1) for s in range(segments)]
     planes += [F.lit("0")] * (-len(planes) % 8)
     return F.concat(*(F.lpad(F.conv(F.concat(*planes[i : i + 8]), 2, 16), 2, "0") for i in range(0, len(planes), 8)))
@@ -82,10 +92,13 @@ def midpoint(symbol: Column, cuts: Sequence[float]) -> Column:
 
 def envelope(s: Column, band: int) -> tuple[Column, Column]:
     """(greatest, least) within ``band`` places, as arrays."""
-    x, n = doubles(s), F.size(s)
 
     def around(of):
-        return F.transform(F.sequence(F.lit(1), n), lambda i: of(F.slice(x, F.greatest(F.lit(1), i - band), F.least(n, i + band) - F.greatest(F.lit(1), i - band) + 1)))
+        def body(x: Column) -> Column:
+            n = F.size(x)
+            return F.transform(F.sequence(F.lit(1), n), lambda i: of(F.slice(x, F.greatest(F.lit(1), i - band), F.least(n, i + band) - F.greatest(F.lit(1), i - band) + 1)))
+
+        return let(doubles(s), body)
 
     return around(F.array_max), around(F.array_min)
 
@@ -94,12 +107,12 @@ def fourier(s: Column, dim: int, coefficients: int, skip_mean: bool = False) ->
     """(real, -imaginary) pairs as sums of cosines and sines."""
     import math
 
-    x, out = doubles(s), []
+    waves = []
     for j in range(coefficients):
         f = j // 2 + (1 if skip_mean else 0)
         wave = [(math.cos if j % 2 == 0 else math.sin)(2 * math.pi * f * t / dim) * math.sqrt(2.0 / dim) for t in range(dim)]
-        out.append(_sum(F.zip_with(x, array_of(wave), lambda a, b: a * b)))
-    return F.array(*out)
+        waves.append(array_of(wave))
+    return let(doubles(s), lambda x: F.array(*(_sum(F.zip_with(x, w, lambda a, b: a * b)) for w in waves)))
 
 
 def quantize(value: Column, cuts: Column) -> Column:
@@ -108,7 +121,7 @@ def quantize(value: Column, cuts: Column) -> Column:
 
 def sketch(s: Column, dim: int, segments: int) -> Column:
     """Array of (mean, deviation) by segment."""
-    return F.array(*(F.struct(mean(p).alias("mean"), deviation(p).alias("deviation")) for p in (segment(s, dim, segments, i) for i in range(segments))))
+    return let(doubles(s), lambda v: F.array(*(F.struct(mean(p).alias("mean"), deviation(p).alias("deviation")) for p in (segment(v, dim, segments, i) for i in range(segments)))))
 
 
 def l2(a: Column, b: Column) -> Column:

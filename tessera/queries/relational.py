@@ -38,10 +38,10 @@ SEMI = "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey
 
 def rollup(spark, d):
     r = table(spark, d, "customer").rollup("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    return r.withColumn("c_nationkey", F.col("c_nationkey").cast("long"))
+    return r.select(F.coalesce(F.col("c_nationkey").cast("long"), F.lit(-1)).alias("c_nationkey"), F.coalesce("c_mktsegment", F.lit("all")).alias("c_mktsegment"), "n")
 
 
-ROLLUP = "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)"
+ROLLUP = "SELECT coalesce(CAST(c_nationkey AS BIGINT), -1) AS c_nationkey, coalesce(c_mktsegment, 'all') AS c_mktsegment, count(*) AS n FROM customer GROUP BY ROLLUP (c_nationkey, c_mktsegment)"
 
 
 def latest_orders(spark, d):

@@ -98,11 +98,12 @@ NORMAL_SQL = "SELECT id, 0.0::DOUBLE AS mean, 1.0::DOUBLE AS deviation FROM rang
 def file_metadata(spark: SparkSession, d: str) -> DataFrame:
     names = ["astronomy_len256_size50K_q100_k10.bin", "walk_ctrl_len96_size2M.bin", "plain.bin", "seismic_len128_size300_q5_k1.bin"]
     df = spark.createDataFrame([(n,) for n in names], "name string")
-    return df.select("name", files.file_metadata(F.col("name")).alias("m")).select("name", F.col("m.dim").cast("long").alias("dim"), "m.n", "m.is_control", F.col("m.n_query").cast("long").alias("n_query"), F.col("m.k").cast("long").alias("k"))
+    m = df.select("name", files.file_metadata(F.col("name")).alias("m"))
+    return m.select("name", "m.is_control", *(F.coalesce(F.col(f"m.{c}").cast("long"), F.lit(-1)).alias(c) for c in ("dim", "n", "n_query", "k")))
 
 
-METADATA_SQL = """SELECT * FROM (VALUES ('astronomy_len256_size50K_q100_k10.bin', 256::BIGINT, 50000::BIGINT, false, 100::BIGINT, 10::BIGINT), ('walk_ctrl_len96_size2M.bin', 96, 2000000, true, NULL, NULL),
-('plain.bin', NULL, NULL, false, NULL, NULL), ('seismic_len128_size300_q5_k1.bin', 128, 300, false, 5, 1)) t(name, dim, n, is_control, n_query, k)"""
+METADATA_SQL = """SELECT * FROM (VALUES ('astronomy_len256_size50K_q100_k10.bin', 256::BIGINT, 50000::BIGINT, false, 100::BIGINT, 10::BIGINT), ('walk_ctrl_len96_size2M.bin', 96, 2000000, true, -1, -1),
+('plain.bin', -1, -1, false, -1, -1), ('seismic_len128_size300_q5_k1.bin', 128, 300, false, 5, 1)) t(name, dim, n, is_control, n_query, k)"""
 
 
 def sampled(spark: SparkSession, d: str) -> DataFrame:
@@ -112,5 +113,5 @@ def sampled(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "insert_then_topk": (insert_then_top_k, TOP_SQL), "streamed_topk": (streamed_top_k, STREAMED_SQL), "user_series_topk": (user_series_top_k, USER_SQL), "sinusoid_source": (sinusoids, SINUSOID_SQL),
-    "random_source": (random_is_normal, NORMAL_SQL), "file_metadata": (file_metadata, METADATA_SQL), "sample_rows": (sampled, "SELECT 40 AS n, 40 AS ids"),
+    "random_source": (random_is_normal, NORMAL_SQL), "file_metadata": (file_metadata, METADATA_SQL), "sample_rows": (sampled, "SELECT CAST(40 AS BIGINT) AS n, CAST(40 AS BIGINT) AS ids"),
 }

@@ -142,8 +142,8 @@ def bins_equal_depth(spark, d):
     return rounded(_features(spark, d).groupBy("i").agg(cuts.alias("c")).select("i", F.posexplode("c").alias("j", "cut")).withColumn("j", F.col("j") + 1))
 
 
-DEPTH_SQL = f"""WITH {_E}, {_F}, r AS (SELECT i, v, row_number() OVER (PARTITION BY i ORDER BY v) - 1 AS at, count(*) OVER (PARTITION BY i) AS n FROM f WHERE i <> 1)
-SELECT i, j, round(v, 6) AS cut FROM r, range(1, 8) t(j) WHERE at = (j * n) // 8"""
+DEPTH_SQL = f"""WITH {_E}, {_F}, r AS (SELECT i, v, row_number() OVER (PARTITION BY i ORDER BY v) - 1 AS place, count(*) OVER (PARTITION BY i) AS n FROM f WHERE i <> 1)
+SELECT i, j, round(v, 6) AS cut FROM r, range(1, 8) t(j) WHERE place = (j * n) // 8"""
 
 
 def sfa_words(spark, d):
@@ -209,7 +209,7 @@ def bound_violations(spark, d):
     return _bounds(spark, d).agg(F.count(F.when(F.col("bound") > F.col("dist") + 1e-9, 1)).alias("violations"), F.count("*").alias("pairs"))
 
 
-VIOLATION_SQL = f"SELECT 0 AS violations, count(*) * {QUERIES} AS pairs FROM embeddings"
+VIOLATION_SQL = f"SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) * {QUERIES} AS BIGINT) AS pairs FROM embeddings"
 
 
 def index_statistics(spark, d):
