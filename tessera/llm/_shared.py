@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,10 +63,10 @@ class Scratch:
 
     def free_shuffles(self) -> None:
         """Lets Spark's cleaner drop the shuffle files of finished stages now rather than at some later collection."""
-        import gc
-
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the first lets Python's handles go, the second what only they held
+            gc.collect()
+            time.sleep(0.3)
+            self.spark.sparkContext._jvm.System.gc()
 
 
 _TO_CLEAN: list[Scratch] = []

@@ -22,7 +22,7 @@ _BASE = 0x9E3779B97F4A7C15
 _TABLE = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, 256, dtype=np.uint64) | _U(1)
 _POW: list[np.ndarray] = []
 #: Bytes of text that a kernel call works on at once; a longer text alone makes a larger call.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import partitions
 
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Bytes of text for each bucket, and the most buckets and chunks; beyond those both grow instead.
 BUCKET = 16 << 20
 MOST_BUCKETS = 1 << 14
@@ -29,6 +29,7 @@ MOST_CHUNKS = 1 << 17
 class Plan:
     table: DataFrame  # chunk, id, text (and other columns)
     bits: int  # log2 of the number of buckets
+    size: int  # mean bytes of text of a chunk
 
 
 def plan_chunks(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Plan:
@@ -46,7 +47,7 @@ def plan_chunks(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Pl
         chunk = F.when(F.col(id_col).isNull(), len(bounds)).otherwise(search)
     else:
         chunk = F.lit(0)
-    return Plan(df.withColumn("chunk", chunk.cast("int")), bits)
+    return Plan(df.withColumn("chunk", chunk.cast("int")), bits, (total or 0) // (len(bounds) + 1))
 
 
 def ordered(table: pa.Table) -> pa.Table:

@@ -3,10 +3,11 @@
 Runs of ``k`` words are edges of a De Bruijn graph whose nodes are runs of k - 1. An edge repeats when it also starts
 in a document with a smaller id. Each chunk of documents (ascending ids) sends the hashes of its distinct edges to hash
 buckets, which answer with the first chunk that holds each. Consecutive repeated edges with one source chunk are a path;
-paths travel, as their words, in a Spark join to their source chunk, which walks them through its own edges: where the
-next edge isn't the next one in the source document the path branches and a new span begins. So repeated nonbranching
-paths compact to spans (document, start, words) = (source document, start), and the words at both coordinates are
-compared one by one. A difference would be a hash collision; the whole run then starts again with another seed.
+equal paths compact to one, which travels, as its words, in a Spark join to its source chunk. The chunk walks it
+through its own edges: where the next edge isn't the next one in the source document the path branches and a new span
+begins. So repeated nonbranching paths compact to spans (document, start, words) = (source document, start), and the
+words at both coordinates are compared one by one. A difference would be a hash collision; the whole run then starts
+again with another seed.
 
 Null and empty texts have no words. Rows that share an id are never each other's source. A null id is after all others.
 An empty table gives an empty result. Only ``id_col`` and ``text_col`` are read.
@@ -15,6 +16,7 @@ An empty table gives an empty result. Only ``id_col`` and ``text_col`` are read.
 from __future__ import annotations
 
 import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import Scratch
 from tessera.llm._text import as_buffer, mix, pieces, shingle_hashes, word_hashes, words
-from tessera.llm.chunks import bucket_edges, by_bucket, ordered, pack, plan_chunks, unpack
+from tessera.llm.chunks import Plan, bucket_edges, by_bucket, ordered, pack, plan_chunks, unpack
 
 
 def _edges(table: pa.Table, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,9 +156,9 @@ def _check(k: int, seed: int, id_type: pa.DataType):
     """Spans of each path that came to its source chunk; ``same`` is whether all words agree."""
 
     def run(table: pa.Table, asks: pa.Table) -> pa.Table:
-        empty = pa.table({"id": pa.nulls(0, id_type), "start": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "src_id": pa.nulls(0, id_type), "src_start": pa.array([], pa.int64()), "same": pa.array([], pa.bool_())})
+        names = ["chunk", "pid", "at", "n_words", "src_id", "src_start", "same"]
         if not asks.num_rows or not table.num_rows:
-            return empty
+            return pa.table([pa.array([], t) for t in (pa.int32(), pa.string(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.bool_())], names)
         table = ordered(table)
         data, starts, ends, counts, values, owner, at, _ = _edges(table, k, seed)
         keys, first = np.unique(values, return_index=True)
@@ -178,27 +180,35 @@ def _check(k: int, seed: int, id_type: pa.DataType):
         sizes = np.where(fine, sizes, 0)
         byte = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         differ = p_data[np.repeat(p_starts[w], sizes) + byte] != data[np.repeat(starts[v], sizes) + byte]
-        bad = np.bincount(np.repeat(np.repeat(np.arange(len(b)), n), sizes)[differ], minlength=len(b)) + np.bincount(np.repeat(np.arange(len(b)), n)[~fine], minlength=len(b))
-        same = (bad == 0) & there[b]
+        span = np.repeat(np.arange(len(b)), n)
+        bad = np.bincount(np.repeat(span, sizes)[differ], minlength=len(b)) + np.bincount(span[~fine], minlength=len(b))
         p_first = np.concatenate(([0], np.cumsum(p_counts)))
         asker, source = p_owner[b], owner[place[b]]
-        return pa.table(
-            {
-                "id": asks["id"].cast(id_type).take(pa.array(asker)), "start": pa.array(asks["start"].to_numpy()[asker] + p_at[b] - p_first[asker]), "n_words": pa.array(n),
-                "src_id": table["id"].cast(id_type).take(pa.array(source)), "src_start": pa.array(at[place[b]] - first_word[source]), "same": pa.array(same),
-            }
-        )
+        ids = table["id"].cast(id_type).take(pa.array(source))
+        chunk = pa.array(np.full(len(b), table["chunk"][0].as_py()), pa.int32())
+        return pa.table([chunk, asks["pid"].take(pa.array(asker)), pa.array(p_at[b] - p_first[asker]), pa.array(n), ids, pa.array(at[place[b]] - first_word[source]), pa.array((bad == 0) & there[b])], names)
 
     return run
 
 
-def _run(s: Scratch, df: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(documents, spans) with all spans verified."""
+def _verify(s: Scratch, plan: Plan, asks: DataFrame, k: int, seed: int, id_type: pa.DataType, kind: str) -> DataFrame:
+    """The spans of distinct paths (chunk, pid, path). A chunk that many paths ask for is read by as many tasks as their
+    bytes need, each with the chunk's text and its share of the paths."""
+    load = asks.groupBy("chunk").agg(F.sum(F.octet_length("path")).alias("bytes"))
+    parts = F.broadcast(load.select("chunk", (F.lit(1) + F.floor(F.col("bytes") / max(plan.size, 1 << 16))).cast("int").alias("parts")))  # a row a chunk, MOST_CHUNKS at most
+    text = plan.table.join(parts, "chunk").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    paths = asks.join(parts, "chunk").withColumn("part", F.pmod(F.xxhash64("pid"), F.col("parts")).cast("int")).drop("parts")
+    spans = text.groupBy("chunk", "part").cogroup(paths.groupBy("chunk", "part")).applyInArrow(_check(k, seed, id_type), f"chunk int, pid string, at long, n_words long, src_id {kind}, src_start long, same boolean")
+    return s.write(spans)
+
+
+def _run(s: Scratch, df: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, paths of documents, spans of paths) with all spans verified."""
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     id_type = _ARROW[kind]
+    plan = plan_chunks(plain)
     for seed in range(3):
-        plan = plan_chunks(plain)
         sent = plan.table.groupBy("chunk").applyInArrow(_send(k, plan.bits, seed), "bucket int, chunk int, keys binary")
         replies = s.write(sent.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, seen binary, source binary"))
         s.free_shuffles()
@@ -206,10 +216,13 @@ def _run(s: Scratch, df: DataFrame, k: int, id_col: str, text_col: str) -> tuple
         marked = s.write(marked)
         s.drop(replies)
         s.free_shuffles()
-        asks = marked.where("src is not null").select(F.col("src").alias("chunk"), "id", "start", "path")
-        spans = s.write(plan.table.groupBy("chunk").cogroup(asks.groupBy("chunk")).applyInArrow(_check(k, seed, id_type), f"id {kind}, start long, n_words long, src_id {kind}, src_start long, same boolean"))
+        asked = marked.where("src is not null").select("id", "start", F.col("src").alias("chunk"), "path")
+        distinct = s.write(asked.groupBy("chunk", "path").agg(F.lit(1).alias("one")).select("chunk", F.md5("path").alias("pid"), "path"))
+        spans = _verify(s, plan, distinct, k, seed, id_type, kind)
+        s.drop(distinct)
+        s.free_shuffles()
         if not spans.where("not same").limit(1).count():
-            return marked.where("src is null"), spans.drop("same")
+            return marked.where("src is null"), asked.select("id", "start", "chunk", F.md5("path").alias("pid")), spans.drop("same")
         s.drop(marked, spans)
     raise RuntimeError("edges collided under three seeds")
 
@@ -223,11 +236,12 @@ def remove_repeats(df: DataFrame, k: int = 13, id_col: str = "doc_id", text_col:
     Removes each word that a window of k words covers whose words also start in a document with a smaller id; the ids
     must be numbers. Windows are judged on the input. Kept words are joined by one space before hashing.
     """
-    docs, _ = _run(Scratch(df.sparkSession, "substring"), df, k, id_col, text_col)
+    docs, _, _ = _run(Scratch(df.sparkSession, "substring"), df, k, id_col, text_col)
     return docs.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256")
 
 
 def repeated_spans(df: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The verified spans: id, start, n_words, src_id, src_start, in words; src is an earlier document with the same words."""
-    _, spans = _run(Scratch(df.sparkSession, "substring"), df, k, id_col, text_col)
-    return spans.withColumnRenamed("id", id_col)
+    _, paths, spans = _run(Scratch(df.sparkSession, "substring"), df, k, id_col, text_col)
+    both = paths.join(spans, ["chunk", "pid"])
+    return both.select(F.col("id").alias(id_col), (F.col("start") + F.col("at")).alias("start"), "n_words", "src_id", "src_start")
