@@ -127,7 +127,7 @@ def _scan(n_carried: int, text_at: int, k: int, percent: int, levels, keep_text:
                 at += b - a
                 carried = [batch.column(i).slice(a, b - a) for i in range(n_carried)]
                 if not keep_text:
-                    carried[text_at] = pa.compute.if_else(pa.array(fresh), carried[text_at], pa.scalar(None, carried[text_at].type))
+                    carried[text_at] = carried[text_at].take(pa.array(np.arange(b - a), mask=~fresh))
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(b - a, np.int32)), pa.array(rows), pa.array(counts, pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), *carried], names)
                 post = fresh & _can_link(counts, percent)
                 use = post[owner]
