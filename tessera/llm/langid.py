@@ -1,6 +1,6 @@
 """Language ID by nearest centroid: TF-IDF vectors of byte n-grams, several centroids a language, cosine, rejection.
 
-A text's vector counts its byte 1-, 2- and 3-grams (A-Z lower-cased) in ``dim`` hashed places, takes log(1 + count),
+A text's vector counts its byte 1-, 2- and 3-grams (A-Z lower-cased, runs of other ASCII as one space) in ``dim`` hashed places, takes log(1 + count),
 weighs by inverse document frequency over all training documents, and has length 1. Each language's sampled vectors
 are clustered into ``clusters`` centroids (spherical k-means, farthest-first starts). The language of the nearest
 centroid wins; a text is rejected when it has no letter, or when its cosine is under ``slack`` times the first
@@ -28,9 +28,11 @@ from tessera.llm._text import LOWER, as_buffer, pieces
 DIM = 4096
 SAMPLE = 256
 CLUSTERS = 3
-SLACK = 0.5
+SLACK = 0.25
 #: More labels than this are taken for a mistake in the label column.
 MOST_LANGUAGES = 1000
+#: A-Z lower-cased, every other byte of ASCII that is no letter a space.
+_PLAIN = np.where((np.arange(256) >= 128) | ((LOWER >= 97) & (LOWER <= 122)), LOWER, 0x20).astype(np.uint8)
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
@@ -56,8 +58,11 @@ def blocks(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, int, np.nda
 def gram_counts(data: np.ndarray, offsets: np.ndarray, dim: int) -> np.ndarray:
     """Matrix of hashed n-gram counts, a row for each text."""
     n = len(offsets) - 1
-    code = LOWER[data].astype(np.uint32)
+    plain = _PLAIN[data]
     owner = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    again = np.zeros(len(plain), bool)
+    again[1:] = (plain[1:] == 0x20) & (plain[:-1] == 0x20) & (owner[1:] == owner[:-1])
+    code, owner = plain[~again].astype(np.uint32), owner[~again]
     shift = np.uint32(32 - (dim - 1).bit_length())
     out = np.zeros(n * dim, np.int64)
     grams = code
