@@ -95,6 +95,19 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+OP10_SQL = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+a AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM w),
+n AS (SELECT doc_id, pos, concat_ws(' ', word, {", ".join(f"lead(word, {i}) OVER o" for i in range(1, 13))}) AS g, lead(word, 12) OVER o AS final
+      FROM a WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+x AS (SELECT doc_id, pos, g FROM n WHERE final IS NOT NULL),
+f AS (SELECT g, min(doc_id) AS first FROM x GROUP BY g),
+c AS (SELECT DISTINCT x.doc_id, pos + k AS pos FROM x JOIN f ON x.g = f.g, range(0, 13) t(k) WHERE first < x.doc_id),
+r AS (SELECT a.doc_id, count(*) AS n_words, count(c.pos) AS n_removed, string_agg(word, ' ' ORDER BY a.pos) FILTER (WHERE c.pos IS NULL) AS kept
+      FROM a LEFT JOIN c ON a.doc_id = c.doc_id AND a.pos = c.pos GROUP BY a.doc_id)
+SELECT w.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN r ON w.doc_id = r.doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op3_mixing": OP3_SQL, "op10_substring_dedup": OP10_SQL}
