@@ -9,10 +9,10 @@ differ in a hash that orders each level.
 1. Equal sets are one class (128-bit digests); from here on a class is one node, however many copies it has.
 2. Classes meet by the prefix tokens of the first order, in one native aggregate and join that keep only tokens of two
    classes or more.
-3. In each token's group a few pivots are compared with the others, and the found links contract classes into
-   components. A pivot that met its whole group leaves it; pairs inside one component are not compared again; rounds
-   go on until no pair is left. So every pair that shares a first-order token was compared or was already connected:
-   no component is lost, and a group of g near copies costs about g comparisons instead of g * g.
+3. In each token's group a few pivots are compared with the others, and the found links hook classes onto less ones.
+   A pivot that met its whole group leaves it; pairs under one label are not compared; rounds go on until no pair is
+   left. The components of all links are found once, at the end. So every pair that shares a first-order token was
+   compared or was already connected: no component is lost, and g near copies cost about g comparisons, not g * g.
 4. A pair that passes the size filter and the other orders' prefix filters is verified on its whole texts.
 
 Null and empty texts have no shingles and link with nothing; with fewer than k words the whole sequence is the one
@@ -207,6 +207,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, orders: int =
     s.free_shuffles()
 
     label = s.write(wanted.select("cls", F.col("cls").alias("comp")))
+    every: list[DataFrame] = []
     r = 0
     while True:
         group = met.join(label, "cls")
@@ -226,15 +227,19 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, orders: int =
         pairs = s.write(pairs)
         both = pairs.join(texts.select(F.col("cls").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("cls").alias("b"), F.col("text").alias("tb")), "b")
         links = s.write(both.select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long"))
-        ends = links.join(label.toDF("a", "u"), "a").join(label.toDF("b", "v"), "b").select("u", "v")
-        found = components(s, ends)
-        then = s.write(label.join(found.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")))
+        every.append(links)
+        ends = links.join(label.toDF("a", "u"), "a").join(label.toDF("b", "v"), "b")
+        hook = ends.select(F.least("u", "v").alias("to"), F.greatest("u", "v").alias("comp")).where("`to` < comp").groupBy("comp").agg(F.min("to").alias("to"))
+        then = s.write(label.join(hook, "comp", "left").select("cls", F.coalesce("to", "comp").alias("comp")))
         rest = s.write(group.where("not pivot").select("token", "cls", "n"))
-        s.drop(met, label, stored, pairs, links)
+        s.drop(met, label, stored, pairs)
         met, label = rest, then
-        s.free_shuffles()
         r += 1
 
+    found = label.limit(0).select(F.col("cls").alias("u"), F.col("comp").alias("v"))
+    for links in every:
+        found = found.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    label = components(s, found).select(F.col("node").alias("cls"), "comp")
     named = classes.join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     comps = s.write(named.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.min("first").alias("first")))
     reach = s.write(named.select("d1", "d2", "n", "comp").join(comps, "comp").select("d1", "d2", "n", "component_id", F.col("first.row").alias("first")))
