@@ -200,7 +200,15 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, orders: int =
     shared = posted.groupBy("token").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).where("lo < hi").select("token")
     met = s.write(posted.join(shared, "token").join(classes.select(F.col("cls").alias("row")), "row", "left_semi").select("token", F.col("row").alias("cls"), "n"))
     s.free_shuffles()
-    wanted = met.select("cls").distinct()
+    # texts are kept only of classes that can get into a pair: in a small group by the size filter, else any
+    sized = s.write(met.join(met.groupBy("token").agg(F.count("*").alias("size")), "token"))
+    small = sized.where(F.col("size") <= SMALL)
+    mate = small.select("token", F.col("cls").alias("other"), F.col("n").alias("m"))
+    close = (F.col("cls") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m"))
+    wanted = s.write(small.join(mate, "token").where(close).select("cls").union(sized.where(F.col("size") > SMALL).select("cls")).distinct())
+    s.drop(met)
+    met = s.write(sized.select("token", "cls", "n").join(wanted, "cls", "left_semi"))
+    s.drop(sized)
     texts = scan.where(f"kind = 0 and n > 0 and {c_text} is not null").select(F.col("row").alias("cls"), F.col(c_text).alias("text")).join(wanted, "cls", "left_semi")
     others = [f"o{m}" for m in range(1, orders)]
     texts = s.write(texts.mapInArrow(_other_orders(k, percent, orders, levels), ", ".join(["cls long, text string", *(f"{o} array<long>" for o in others)])))
@@ -240,10 +248,14 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, orders: int =
     for links in every:
         found = found.unionByName(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     label = components(s, found).select(F.col("node").alias("cls"), "comp")
+    s.drop(texts, *every)
     named = classes.join(label, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     comps = s.write(named.groupBy("comp").agg(F.min("min_id").alias("component_id"), F.min("first").alias("first")))
     reach = s.write(named.select("d1", "d2", "n", "comp").join(comps, "comp").select("d1", "d2", "n", "component_id", F.col("first.row").alias("first")))
     rows = scan.where("kind = 0")
+    if not keep_all:
+        rows = s.write(rows.select("row", "n", "d1", "d2", c_id))
+        s.drop(scan)
     out = rows.join(reach, ["d1", "d2", "n"], "left")
     component = F.when(F.col("n") == 0, F.col(c_id)).otherwise(F.col("component_id"))
     if keep_all:
