@@ -223,7 +223,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, orders: int =
         stored = s.write(group.join(alive, "token"))
         if not stored.limit(1).count():
             break
-        drawn = F.pmod(F.xxhash64(F.lit(r), "cls"), F.col("size")) < F.lit(4**r) if r else F.lit(False)
+        drawn = F.pmod(F.xxhash64(F.lit(r), "cls"), F.col("size")) < F.lit(16**r) if r else F.lit(False)
         pivot = (F.col("size") <= SMALL) | (F.col("cls") == F.col("least")) | drawn
         group = stored.withColumn("pivot", pivot)
         a = group.where("pivot").select("token", F.col("cls").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))
