@@ -10,7 +10,8 @@ A probability depends on a byte and its context only, so the model is a table of
 documents send their distinct grams and words with training counts to buckets; a bucket of grams holds whole subtrees
 below two bytes of context, and the top of the tree is a table of 256 * 255 nodes whatever the corpus. The buckets
 answer each chunk with the probabilities of its own grams and the counts of its own words, and the chunk scores its
-documents. What is gathered grows with the corpus; nothing but the tree's top is collected or broadcast.
+documents. What is gathered, grams of eight bytes and words, grows with the corpus; nothing but the tree's top is
+collected or broadcast.
 
 Null and empty texts have the end token only. A row whose held-out condition is null is learned from. Repeated
 rows count as often as they occur. Without training documents all counts are 0 and each decision has probability 1/2.
@@ -24,10 +25,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import Scratch
-from tessera.llm._text import LOWER, as_buffer, mix, pieces, word_hashes, words
+from tessera.llm._text import LOWER, as_buffer, pieces, word_hashes, words
 from tessera.llm.chunks import bucket_edges, by_bucket, ordered, pack, pack_counts, plan_chunks, unpack, unpack_counts
 
-DEPTH = 3
+DEPTH = 7
+#: The deepest context whose grams, with the byte itself, are 64-bit keys.
+MOST = 7
+#: Buckets of grams are 2^FINER times those of words; so many grams of a bucket are worked on at once.
+FINER = 2
+PART = 1 << 17
+_PAIRS = np.random.Generator(np.random.PCG64(11)).permutation(1 << 16).astype(np.uint64)
+_PAIRS_BACK = np.argsort(_PAIRS).astype(np.uint64)
 _HALF = np.log(0.5)
 
 
@@ -45,6 +53,19 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return log_gamma(a + 0.5) + log_gamma(b + 0.5) - np.log(np.pi) - log_gamma(a + b + 1.0)
 
 
+_LG_HALF, _LG_ONE = (log_gamma(np.arange(1 << 16) + x) for x in (0.5, 1.0))
+
+
+def log_kt_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``log_kt`` of whole numbers, small ones from a table."""
+    few = a + b < len(_LG_ONE)
+    x, y = (np.where(few, v, 0).astype(np.int64) for v in (a, b))
+    out = _LG_HALF[x] + _LG_HALF[y] - np.log(np.pi) - _LG_ONE[x + y]
+    many = np.flatnonzero(~few)
+    out[many] = log_kt(a[many], b[many])
+    return out
+
+
 def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each text and its end: the context, nearest byte first, then the byte, in one integer; and the text."""
     n = len(offsets) - 1
@@ -65,20 +86,34 @@ def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray
 
 
 def spread(codes: np.ndarray, depth: int) -> np.ndarray:
-    """A 64-bit key that keeps the grams of one subtree together and in order, with the subtree's hash on top."""
+    """A 64-bit key, one for each gram, that keeps the grams of one subtree together and in order: the two nearest bytes
+    permuted at random on top, the other bytes below."""
+    low = np.uint64(8 * (depth - 1))
+    return _PAIRS[(codes >> low).astype(np.int64)] << np.uint64(48) | (codes & (np.uint64(1) << low) - np.uint64(1)) << np.uint64(8 * (MOST - depth))
+
+
+def gather(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The grams of ``spread`` keys."""
     low = np.uint64(8 * (depth - 1))
-    return (mix(codes >> low) & np.uint64(2**64 - 2**40)) | (codes & np.uint64(2**40 - 1))
+    return _PAIRS_BACK[(keys >> np.uint64(48)).astype(np.int64)] << low | (keys & np.uint64(2**48 - 1)) >> np.uint64(8 * (MOST - depth))
 
 
 class Level:
-    """The nodes (context, decision) of one depth: counts, weighted probability, and where each gram's decisions are."""
-
-    def __init__(self, context: np.ndarray, decision: np.ndarray, bit: np.ndarray, n: np.ndarray):
-        key = context.astype(np.int64) << 8 | decision
-        self.keys, self.of = np.unique(key, return_inverse=True)
-        self.zeros = np.bincount(self.of, weights=n * (bit == 0), minlength=len(self.keys))
-        self.ones = np.bincount(self.of, weights=n * (bit == 1), minlength=len(self.keys))
-        self.kt = log_kt(self.zeros, self.ones)
+    """The nodes of one depth for one of a byte's eight decisions: counts, weighted probability, each gram's node.
+
+    ``codes``: distinct grams of this depth, those of one context adjacent and ascending by byte; ``n``: their counts.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, i: int):
+        head = codes >> np.uint64(8 - i)  # context and the bits decided before
+        new = np.ones(len(codes), bool)
+        new[1:] = head[1:] != head[:-1]
+        self.start, self.of = np.flatnonzero(new), np.cumsum(new) - 1
+        self.bit = codes >> np.uint64(7 - i) & np.uint64(1) == 1
+        both = np.add.reduceat(n, self.start) if len(codes) else np.zeros(0)
+        self.ones = np.add.reduceat(np.where(self.bit, n, 0), self.start) if len(codes) else np.zeros(0)
+        self.zeros = both - self.ones
+        self.kt = log_kt_counts(self.zeros, self.ones)
         self.weighted = self.kt
 
     def mixed(self, below: np.ndarray) -> None:
@@ -89,42 +124,43 @@ class Level:
         """The weight of the node's own estimate."""
         return np.exp(_HALF + self.kt - self.weighted)
 
-    def predict(self, bit: np.ndarray) -> np.ndarray:
-        """The node's own estimate of each decision."""
-        hits = np.where(bit == 0, self.zeros[self.of], self.ones[self.of])
-        return (hits + 0.5) / (self.zeros[self.of] + self.ones[self.of] + 1.0)
-
-
-def decisions(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each byte, its eight decision nodes (1 to 255) and bits, from the top bit down, flattened."""
-    i = np.arange(8)
-    node = (1 << i) | (byte[:, None] >> (8 - i))
-    return node.ravel(), ((byte[:, None] >> (7 - i)) & 1).ravel()
+    def predict(self) -> np.ndarray:
+        """The node's own estimate of each gram's decision."""
+        hits = np.where(self.bit, self.ones[self.of], self.zeros[self.of])
+        return (hits + 0.5) / ((self.zeros + self.ones)[self.of] + 1.0)
 
 
 def subtrees(codes: np.ndarray, n: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Probabilities, at context depth 2, of the eight decisions of each gram; and (key, zeros, ones, weighted) of the
     depth-2 nodes, key being (nearest byte, byte before, decision).
 
-    ``codes`` hold whole subtrees below two bytes of context.
+    ``codes`` hold whole subtrees below two bytes of context, distinct, in an order that keeps equal contexts adjacent and
+    bytes ascending.
     """
-    byte = (codes & np.uint64(255)).astype(np.int64)
-    decision, bit = decisions(byte)
-    many = np.repeat(n, 8)
-    p, above = None, None
-    for d in range(depth, 1, -1):
-        context = (codes >> np.uint64(8 * (depth - d + 1))).astype(np.int64)
-        level = Level(np.repeat(context, 8), decision, bit, many)
-        if above is not None:
-            child = above.keys
-            parent = np.searchsorted(level.keys, (child >> 16) << 8 | (child & 255))
-            level.mixed(np.bincount(parent, weights=above.weighted, minlength=len(level.keys)))
-            share = level.own()[level.of]
-            p = share * level.predict(bit) + (1 - share) * p
-        else:
-            p = level.predict(bit)
-        above = level
-    return p.reshape(-1, 8), above.keys, above.zeros, above.ones, above.weighted
+    # grams of each depth, from the deepest up, and where each gram's shorter form is among those of the depth above
+    forms, counts, up = [codes], [n], []
+    for _ in range(depth - 2):
+        shorter, inverse = np.unique(forms[-1] >> np.uint64(16) << np.uint64(8) | forms[-1] & np.uint64(255), return_inverse=True)
+        forms.append(shorter)
+        counts.append(np.bincount(inverse, weights=counts[-1], minlength=len(shorter)))
+        up.append(inverse)
+    p = np.empty((len(codes), 8))
+    nodes = []
+    for i in range(8):
+        levels = [Level(f, c, i) for f, c in zip(forms, counts, strict=True)]
+        for child, level, inverse in zip(levels, levels[1:], up):
+            level.mixed(np.bincount(level.of[inverse[child.start]], weights=child.weighted, minlength=len(level.start)))
+        two = levels[-1]
+        first = forms[-1][two.start].astype(np.int64)
+        nodes.append(((first >> 8) << 8 | 1 << i | (first & 255) >> (8 - i), two.zeros, two.ones, two.weighted))
+        # from depth 2 down: what the depths so far give a decision, and the weight that is left for deeper ones
+        known, left = np.zeros(len(forms[-1])), np.ones(len(forms[-1]))
+        for level, inverse in zip(levels[:0:-1], up[::-1], strict=True):
+            own = level.own()[level.of]
+            known = (known + left * own * level.predict())[inverse]
+            left = (left * (1 - own))[inverse]
+        p[:, i] = known + left * levels[0].predict()
+    return p, *(np.concatenate([x[k] for x in nodes]) for k in range(4))
 
 
 def top_of_tree(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -144,13 +180,15 @@ def top_of_tree(rows: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 def gram_logs(codes: np.ndarray, p2: np.ndarray, top: tuple, depth: int) -> np.ndarray:
     """log10 of each gram's probability."""
     own1, one1, own0, one0 = top
-    decision, bit = decisions((codes & np.uint64(255)).astype(np.int64))
-    near = np.repeat((codes >> np.uint64(8 * depth)).astype(np.int64), 8)
-    e1 = np.where(bit == 1, one1[near, decision], 1 - one1[near, decision])
-    e0 = np.where(bit == 1, one0[decision], 1 - one0[decision])
-    p = own1[near, decision] * e1 + (1 - own1[near, decision]) * p2.ravel()
-    p = own0[decision] * e0 + (1 - own0[decision]) * p
-    return np.log10(p).reshape(-1, 8).sum(axis=1)
+    byte, near = (codes & np.uint64(255)).astype(np.int64), (codes >> np.uint64(8 * depth)).astype(np.int64)
+    out = np.zeros(len(codes))
+    for i in range(8):
+        decision, bit = 1 << i | byte >> (8 - i), byte >> (7 - i) & 1 == 1
+        e1, own = one1[near, decision], own1[near, decision]
+        p = own * np.where(bit, e1, 1 - e1) + (1 - own) * p2[:, i]
+        p = own0[decision] * np.where(bit, one0[decision], 1 - one0[decision]) + (1 - own0[decision]) * p
+        out += np.log10(p)
+    return out
 
 
 def _lookup(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -169,6 +207,24 @@ def _distinct(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.nda
     return keys, np.bincount(inverse, weights=weights, minlength=len(keys)).astype(np.int64)
 
 
+def _squeeze(keys: np.ndarray) -> bytes:
+    """Ascending 64-bit keys, byte by byte from the top, so that the runs of their common heads compress."""
+    return len(keys).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(keys.astype(">u8").view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def _expand(blob: bytes) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    columns = np.frombuffer(pa.decompress(blob[8:], 8 * n, "zstd"), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(columns.T).view(">u8").ravel().astype(np.uint64)
+
+
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, ascending, and how often each is there."""
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+    return keys[first], np.diff(first, append=len(keys))
+
+
 def _count(bits: int, depth: int):
     def run(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
@@ -180,23 +236,27 @@ def _count(bits: int, depth: int):
             st, en, counts = words(low, o)
             word_parts.append(_distinct(word_hashes(low, st, en), np.repeat(train[a:b], counts)))
             codes, owner = grams(d, o, depth)
-            gram_parts.append(_distinct(spread(codes, depth), train[a:b][owner]))
+            keys, learned = spread(codes, depth), train[a:b][owner] == 1
+            gram_parts.append(_runs(keys[learned]))
+            held = _runs(keys[~learned])[0]
+            gram_parts.append((held, np.zeros(len(held), np.int64)))
         out: dict[str, list] = {c: [] for c in ("kind", "bucket", "chunk", "keys", "counts", "tokens")}
         for kind, parts in ((0, word_parts), (1, gram_parts)):
             keys, counts = _lookup(parts)
-            edges = bucket_edges(keys, bits)
-            for b in range(1 << bits):
+            split = bits + FINER if kind else bits
+            edges = bucket_edges(keys, split)
+            for b in range(1 << split):
                 if edges[b] < edges[b + 1]:
                     part = slice(edges[b], edges[b + 1])
-                    for c, v in zip(out, (kind, b, chunk, pack(keys[part]), pack_counts(counts[part]), int(counts[part].sum())), strict=True):
+                    for c, v in zip(out, (kind, b, chunk, (_squeeze if kind else pack)(keys[part]), pack_counts(counts[part]), int(counts[part].sum())), strict=True):
                         out[c].append(v)
         return pa.table({"kind": pa.array(out["kind"], pa.int32()), "bucket": pa.array(out["bucket"], pa.int32()), "chunk": pa.array(out["chunk"], pa.int32()), "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary()), "tokens": pa.array(out["tokens"], pa.int64())})
 
     return run
 
 
-def _parts(table: pa.Table) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    return [(r["chunk"], unpack(r["keys"]), unpack_counts(r["counts"])) for r in table.sort_by("chunk").to_pylist()]
+def _parts(table: pa.Table, read=unpack) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    return [(r["chunk"], read(r["keys"]), unpack_counts(r["counts"])) for r in table.sort_by("chunk").to_pylist()]
 
 
 def _answer_words(table: pa.Table) -> pa.Table:
@@ -207,20 +267,32 @@ def _answer_words(table: pa.Table) -> pa.Table:
     return pa.table({"chunk": pa.array([p[0] for p in parts], pa.int32()), "bucket": pa.array([table["bucket"][0].as_py()] * len(parts), pa.int32()), "counts": pa.array([pack_counts(counts[np.searchsorted(keys, p[1])]) for p in parts], pa.binary()), "known": pa.array(known, pa.int64())})
 
 
+def _subtree_runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of about ``PART`` keys that hold whole subtrees below two bytes of context."""
+    head = keys >> np.uint64(48)
+    ends = np.append(np.flatnonzero(head[1:] != head[:-1]) + 1, len(keys))
+    cuts = ends[np.unique(np.searchsorted(ends, np.append(np.arange(PART, len(keys), PART), len(keys))))]
+    return list(zip([0, *cuts[:-1].tolist()], cuts.tolist()))
+
+
 def _grow(depth: int):
     """The subtrees of a bucket: one row (c = -1) with its grams, and rows of sums for the top of the tree."""
 
     def run(table: pa.Table) -> pa.Table:
-        keys, n = _lookup([p[1:] for p in _parts(table)])
-        p, node, zeros, ones, weighted = subtrees(keys & np.uint64(2**40 - 1), n.astype(np.float64), depth)
-        group, inverse = np.unique((node >> 16) << 8 | (node & 255), return_inverse=True)
-        z, o, w = (np.bincount(inverse, weights=x, minlength=len(group)) for x in (zeros, ones, weighted))
+        keys, n = _lookup([p[1:] for p in _parts(table, _expand)])
+        p = np.empty((len(keys), 8), np.float32)
+        sums = []
+        for a, b in _subtree_runs(keys):
+            p[a:b], node, *values = subtrees(gather(keys[a:b], depth), n[a:b].astype(np.float64), depth)
+            group, inverse = np.unique((node >> 16) << 8 | (node & 255), return_inverse=True)
+            sums.append((group, *(np.bincount(inverse, weights=x, minlength=len(group)) for x in values)))
+        group, z, o, w = (np.concatenate([x[k] for x in sums]) for k in range(4))
         m, bucket = len(group), table["bucket"][0].as_py()
         return pa.table(
             {
                 "bucket": pa.array([bucket] * (m + 1), pa.int32()), "c": pa.array(np.append(group >> 8, -1), pa.int32()), "q": pa.array(np.append(group & 255, -1), pa.int32()),
                 "zeros": pa.array(np.append(z, 0)), "ones": pa.array(np.append(o, 0)), "below": pa.array(np.append(w, 0)),
-                "keys": pa.array([None] * m + [pack(keys)], pa.binary()), "p": pa.array([None] * m + [p.astype(np.float64).tobytes()], pa.binary()),
+                "keys": pa.array([None] * m + [_squeeze(keys)], pa.binary()), "p": pa.array([None] * m + [p.tobytes()], pa.binary()),
             }
         )
 
@@ -229,10 +301,10 @@ def _grow(depth: int):
 
 def _answer_grams(depth: int, top):
     def run(sent: pa.Table, model: pa.Table) -> pa.Table:
-        keys, p = unpack(model["keys"][0].as_py()), np.frombuffer(model["p"][0].as_py(), np.float64).reshape(-1, 8)
-        logs = gram_logs(keys & np.uint64(2**40 - 1), p, top.value, depth).astype(np.float32)
+        keys, p = _expand(model["keys"][0].as_py()), np.frombuffer(model["p"][0].as_py(), np.float32).reshape(-1, 8)
+        logs = np.concatenate([gram_logs(gather(keys[a : a + PART], depth), p[a : a + PART], top.value, depth).astype(np.float32) for a in range(0, len(keys), PART)])
         rows = sent.sort_by("chunk").to_pylist()
-        return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "logs": pa.array([logs[np.searchsorted(keys, unpack(r["keys"]))].tobytes() for r in rows], pa.binary())})
+        return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "logs": pa.array([logs[np.searchsorted(keys, _expand(r["keys"]))].tobytes() for r in rows], pa.binary())})
 
     return run
 
@@ -244,17 +316,19 @@ def _score(bits: int, depth: int, total: int, distinct: int, ends: int, id_type:
         logs = np.concatenate([np.frombuffer(r["logs"], np.float32) for r in by_bucket(replies.filter(pa.array(kinds == 1)))] or [np.zeros(0, np.float32)]).astype(np.float64)
         data, offsets = as_buffer(table["text"])
         # the chunk's distinct keys, as they were sent
-        word_keys, gram_keys = [], []
+        word_keys, gram_keys, of_text = [], [], []
         for _, _, d, o in pieces(data, offsets):
             low = LOWER[d]
             st, en, _ = words(low, o)
             word_keys.append(np.unique(word_hashes(low, st, en)))
-            gram_keys.append(np.unique(spread(grams(d, o, depth)[0], depth)))
-        word_keys, gram_keys = np.unique(np.concatenate(word_keys)), np.unique(np.concatenate(gram_keys))
+            keys, inverse = np.unique(spread(grams(d, o, depth)[0], depth), return_inverse=True)
+            gram_keys.append(keys)
+            of_text.append(inverse.astype(np.int32))
+        word_keys, all_grams = np.unique(np.concatenate(word_keys)), np.unique(np.concatenate(gram_keys))
         scale = total + 0.1 * (distinct + 1)
         end_log = np.log10((ends + 0.1) / scale)
         base, score, n_tokens, n_known = [], [], [], []
-        for a, b, d, o in pieces(data, offsets):
+        for (a, b, d, o), keys, inverse in zip(pieces(data, offsets), gram_keys, of_text, strict=True):
             low = LOWER[d]
             st, en, n = words(low, o)
             owner = np.repeat(np.arange(b - a), n)
@@ -262,8 +336,8 @@ def _score(bits: int, depth: int, total: int, distinct: int, ends: int, id_type:
             base.append(np.bincount(owner, weights=np.log10((c + 0.1) / scale), minlength=b - a) + end_log)
             n_known.append(np.bincount(owner, weights=c > 0, minlength=b - a) + (ends > 0))
             n_tokens.append(n + 1)
-            codes, owner = grams(d, o, depth)
-            score.append(np.bincount(owner, weights=logs[np.searchsorted(gram_keys, spread(codes, depth))], minlength=b - a))
+            owner = np.repeat(np.arange(b - a), np.diff(o) + 1)
+            score.append(np.bincount(owner, weights=logs[np.searchsorted(all_grams, keys)][inverse], minlength=b - a))
         sizes = np.diff(offsets) + 1
         score = np.concatenate(score)
         return pa.table(
@@ -283,8 +357,8 @@ def score_documents(df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "
     bits_per_byte is the code length of the text and its end by byte.
     """
     spark, s = df.sparkSession, Scratch(df.sparkSession, "ctw")
-    if not 2 <= depth <= 4:
-        raise ValueError("depth must be from 2 to 4")
+    if not 2 <= depth <= MOST:
+        raise ValueError(f"depth must be from 2 to {MOST}")
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("held", F.coalesce(held_out, F.lit(False)))
     kind = plain.schema["id"].dataType.simpleString()
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32()}[kind]

@@ -115,3 +115,34 @@ def test_empty(spark):
     got = ctw.score_documents(frame(spark, [(1, None, None), (2, "ab", None)]), F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 for r in got)
     assert math.isclose(next(r.score for r in got if r.doc_id == 2), 24 * math.log10(0.5), rel_tol=1e-6)
+
+
+def test_deep_contexts(spark):
+    rows = [(i, f"{a} likes {b} and {a[::-1]} too; \u00e9\u4e2d", None) for i, (a, b) in enumerate((a, b) for a in ("anna", "bertha", "carl") for b in ("plums", "pears", "prunes", ""))]
+    held = lambda d: d % 4 == 1
+    for depth in (5, 7):
+        tree = Tree(depth)
+        for d, t, _ in rows:
+            if not held(d):
+                tree.learn(lower(t))
+        tree.finish()
+        got = {r.doc_id: r.score for r in ctw.score_documents(frame(spark, rows), F.col("id") % 4 == 1, depth=depth).collect()}
+        for d, t, _ in rows:
+            assert math.isclose(got[d], tree.score(lower(t)), rel_tol=1e-5)
+
+
+def test_keys_hold_whole_grams():
+    r = np.random.default_rng(2)
+    for depth in range(2, ctw.MOST + 1):
+        codes = r.integers(0, 2 ** min(63, 8 * depth + 8), 5000, dtype=np.uint64)
+        assert (ctw.gather(ctw.spread(codes, depth), depth) == codes).all()
+
+
+def test_what_is_gathered_grows_with_the_corpus():
+    r = np.random.default_rng(3)
+    names = ["".join(r.choice(list("aeioulmnrst"), r.integers(3, 9))) for _ in range(3000)]
+    sizes = []
+    for n in (2_000, 20_000):
+        data = np.frombuffer(" ".join(r.choice(names, n)).encode(), np.uint8)
+        sizes.append(len(np.unique(ctw.grams(data, np.array([0, len(data)]), ctw.DEPTH)[0])))
+    assert sizes[1] > 3 * sizes[0]
