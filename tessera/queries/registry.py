@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.queries import relational, searches, streams, transforms
 
-_ALL = {**searches.QUERIES, **transforms.QUERIES_SQL, **streams.QUERIES, **relational.QUERIES}
+_ALL = {**searches.QUERIES, **transforms.QUERIES_SQL, **streams.QUERIES, **relational.QUERIES, **searches.EVERY, **transforms.EVERY, **streams.EVERY}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: run for name, (run, _) in _ALL.items()}
 
 
+def without_sql() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """Queries that SQL is too slow for."""
+    return dict(searches.WITHOUT_SQL)
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _ALL.items()}

@@ -12,7 +12,7 @@ from tessera.functions import columns
 from tessera.operators import search
 from tessera.plans import index
 from tessera.queries.searches import TOP, TOP_SQL
-from tessera.queries.tables import queries, rounded, series, table
+from tessera.queries.tables import asked, every, in_blocks, queries, rounded, series, table
 from tessera.sources import files, memory
 from tessera.streaming.runs import RunStore, stream_into
 
@@ -28,15 +28,15 @@ def _folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="tessera-runs-")
 
 
-def insert_then_top_k(spark: SparkSession, d: str) -> DataFrame:
+def insert_then_top_k(spark: SparkSession, d: str, n: int | None = 5) -> DataFrame:
     """An index over two thirds of the rows gets the rest appended; the answer is that of the whole table."""
     s = series(spark, d)
     old = s.where(F.col("id") % 3 != 2)
     i = index.append(index.build(old, "isax", Layout(segments=16, bits=4, leaf_size=50)), s.where(F.col("id") % 3 == 2))
-    return rounded(index.search(i, queries(spark, d), TOP))
+    return rounded(in_blocks(queries(spark, d, n), lambda q: index.search(i, q, TOP)))
 
 
-def streamed_top_k(spark: SparkSession, d: str) -> DataFrame:
+def streamed_top_k(spark: SparkSession, d: str, n: int | None = 5) -> DataFrame:
     """The first 100 vectors make a store; the others arrive by a stream, run by run, and runs are merged."""
     folder = _folder(spark)
     s = series(spark, d)
@@ -48,7 +48,7 @@ def streamed_top_k(spark: SparkSession, d: str) -> DataFrame:
     query = stream_into(store, stream, f"{folder}/checkpoint")
     query.processAllAvailable()
     query.stop()
-    found = store.search(queries(spark, d), TOP)
+    found = in_blocks(queries(spark, d, n), lambda q: store.search(q, TOP))
     return rounded(found.select("qid", "rank", "dist"))
 
 
@@ -65,10 +65,10 @@ def user_series(spark: SparkSession, d: str) -> DataFrame:
     return s
 
 
-def user_series_top_k(spark: SparkSession, d: str) -> DataFrame:
+def user_series_top_k(spark: SparkSession, d: str, n: int | None = 3) -> DataFrame:
     s = user_series(spark, d)
-    q = s.where("id < 3").select(F.col("id").alias("qid"), F.col("series").alias("q"))
-    return rounded(search.search_native(s, q, SearchConfig(k=5)))
+    q = s.where(asked(n)).select(F.col("id").alias("qid"), F.col("series").alias("q"))
+    return rounded(in_blocks(q, lambda b: search.search_native(s, b, SearchConfig(k=5))))
 
 
 USER_SQL = f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), g AS (SELECT id, i FROM u, range(0, {DAYS}) t(i)),
@@ -115,3 +115,9 @@ QUERIES = {
     "insert_then_topk": (insert_then_top_k, TOP_SQL), "streamed_topk": (streamed_top_k, STREAMED_SQL), "user_series_topk": (user_series_top_k, USER_SQL), "sinusoid_source": (sinusoids, SINUSOID_SQL),
     "random_source": (random_is_normal, NORMAL_SQL), "file_metadata": (file_metadata, METADATA_SQL), "sample_rows": (sampled, "SELECT CAST(40 AS BIGINT) AS n, CAST(40 AS BIGINT) AS ids"),
 }
+
+#: The same for the query set of every id divisible by 50.
+EVERY = {
+    "insert_then_topk_every50": (lambda s, d: insert_then_top_k(s, d, None), every(TOP_SQL)), "streamed_topk_every50": (lambda s, d: streamed_top_k(s, d, None), every(STREAMED_SQL)),
+    "user_series_topk_every50": (lambda s, d: user_series_top_k(s, d, None), every(USER_SQL, 3, "a.id")),
+}

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators.validate import MOST_QUERY_BYTES
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -14,9 +19,32 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("series"))
 
 
-def queries(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """The first n vectors, as the batch of queries."""
-    return series(spark, sf_dir).where(F.col("id") < n).select(F.col("id").alias("qid"), F.col("series").alias("q"))
+def asked(n: int | None) -> Column:
+    """Whether a row is a query: the first n ids, or without n every id divisible by 50."""
+    return F.col("id") % 50 == 0 if n is None else F.col("id") < n
+
+
+def every(sql: str, n: int = 5, column: str = "id") -> str:
+    """The SQL of the first n ids, for every id divisible by 50."""
+    short = f"{column} < {n}"
+    if sql.count(short) != 1:
+        raise ValueError(f"not one {short}")
+    return sql.replace(short, f"{column} % 50 = 0")
+
+
+def in_blocks(q: DataFrame, run: Callable[[DataFrame], DataFrame], most: int = MOST_QUERY_BYTES // 2) -> DataFrame:
+    """The rows that ``run`` gives for queries (qid, q) of any number, each block of them about ``most`` bytes."""
+    n = 1 + (q.agg(F.sum(F.size("q") * 8)).first()[0] or 0) // most
+    if n == 1:
+        return run(q)
+    block = F.pmod(F.xxhash64("qid"), F.lit(n))
+    held = sorted(r[0] for r in q.select(block).distinct().collect())  # n at most
+    return reduce(DataFrame.unionByName, (run(q.where(block == i)) for i in held))
+
+
+def queries(spark: SparkSession, sf_dir: str, n: int | None = 5) -> DataFrame:
+    """The first n vectors, or without n those of every id divisible by 50, as the batch of queries."""
+    return series(spark, sf_dir).where(asked(n)).select(F.col("id").alias("qid"), F.col("series").alias("q"))
 
 
 def rounded(df: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import Layout
 from tessera.functions import columns
 from tessera.plans import index
-from tessera.queries.tables import rounded, series, table
+from tessera.queries.tables import asked, every, in_blocks, rounded, series, table
 
 DIM, SEGMENTS, BITS, BAND, QUERIES = 64, 16, 4, 6, 5
 LENGTH = DIM // SEGMENTS
@@ -177,25 +177,25 @@ NODE_SQL = f"""WITH {_E}, {_K} SELECT CAST(label AS BIGINT) AS node, i, round(ma
 FROM k JOIN embeddings ON vec_id = id GROUP BY label, i"""
 
 
-def keogh_pairs(spark, d):
+def keogh_pairs(spark, d, n=QUERIES):
     up, lo = columns.envelope(F.col("series"), BAND)
-    q = series(spark, d).where(F.col("id") < QUERIES).select(F.col("id").alias("qid"), up.alias("u"), lo.alias("l"))
-    return rounded(series(spark, d).crossJoin(F.broadcast(q)).select("qid", "id", columns.lb_keogh(F.col("u"), F.col("l"), F.col("series")).alias("bound")))
+    q = series(spark, d).where(asked(n)).select(F.col("id").alias("qid"), F.col("series").alias("q"), up.alias("u"), lo.alias("l"))
+    return rounded(in_blocks(q, lambda b: series(spark, d).crossJoin(F.broadcast(b)).select("qid", "id", columns.lb_keogh(F.col("u"), F.col("l"), F.col("series")).alias("bound"))))
 
 
 KEOGH_SQL = f"""WITH {_E}, v AS (SELECT id, i, max(v) OVER w AS u, min(v) OVER w AS l FROM e WHERE id < {QUERIES} WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN {BAND} PRECEDING AND {BAND} FOLLOWING))
 SELECT v.id AS qid, e.id, round(sum(greatest(0, e.v - u) * greatest(0, e.v - u) + greatest(0, l - e.v) * greatest(0, l - e.v)), 6) AS bound FROM e JOIN v ON e.i = v.i GROUP BY ALL"""
 
 
-def _bounds(spark, d):
+def _bounds(spark, d, n=QUERIES):
     p = series(spark, d).select("id", "series", columns.paa(F.col("series"), DIM, SEGMENTS).alias("p"))
     p = p.withColumn("w", columns.symbolize(F.col("p"), columns.array_of(FINE)))
-    q = p.where(F.col("id") < QUERIES).select(F.col("id").alias("qid"), F.col("p").alias("qp"), F.col("series").alias("q"))
-    return p.crossJoin(F.broadcast(q)).select("qid", "id", columns.sax_bound(F.col("qp"), F.col("w"), FINE, LENGTH).alias("bound"), columns.l2(F.col("q"), F.col("series")).alias("dist"))
+    q = p.where(asked(n)).select(F.col("id").alias("qid"), F.col("p").alias("qp"), F.col("series").alias("q"))
+    return in_blocks(q, lambda b: p.crossJoin(F.broadcast(b)).select("qid", "id", columns.sax_bound(F.col("qp"), F.col("w"), FINE, LENGTH).alias("bound"), columns.l2(F.col("q"), F.col("series")).alias("dist")))
 
 
-def sax_bounds(spark, d):
-    return rounded(_bounds(spark, d).drop("dist"))
+def sax_bounds(spark, d, n=QUERIES):
+    return rounded(_bounds(spark, d, n).drop("dist"))
 
 
 SAX_BOUND_SQL = f"""WITH {_E}, p AS (SELECT id, i // {LENGTH} AS i, avg(v) AS v FROM e GROUP BY ALL), {_FINE}, k AS (SELECT [{", ".join(map(repr, FINE))}] AS cuts),
@@ -204,9 +204,9 @@ SELECT p.id AS qid, x.id, round({LENGTH} * sum(pow(greatest(0, coalesce(CASE WHE
 FROM p JOIN x ON p.i = x.i, k WHERE p.id < {QUERIES} GROUP BY ALL"""
 
 
-def bound_violations(spark, d):
+def bound_violations(spark, d, n=QUERIES):
     """Pairs whose bound is above their distance: none, by every bound."""
-    return _bounds(spark, d).agg(F.count(F.when(F.col("bound") > F.col("dist") + 1e-9, 1)).alias("violations"), F.count("*").alias("pairs"))
+    return _bounds(spark, d, n).agg(F.count(F.when(F.col("bound") > F.col("dist") + 1e-9, 1)).alias("violations"), F.count("*").alias("pairs"))
 
 
 VIOLATION_SQL = f"SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) * {QUERIES} AS BIGINT) AS pairs FROM embeddings"
@@ -235,3 +235,9 @@ QUERIES_SQL = {
     "eapca_sketch": (sketches, SKETCH_SQL), "eapca_node_sketch": (node_sketches, NODE_SQL), "lb_keogh_pairs": (keogh_pairs, KEOGH_SQL), "lb_sax_pairs": (sax_bounds, SAX_BOUND_SQL), "lb_violations": (bound_violations, VIOLATION_SQL),
     "index_statistics": (index_statistics, STATISTICS_SQL),
 }
+
+#: Bounds for the query set of every id divisible by 50.
+EVERY = {
+    "lb_keogh_pairs_every50": (lambda s, d: keogh_pairs(s, d, None), every(KEOGH_SQL)), "lb_sax_pairs_every50": (lambda s, d: sax_bounds(s, d, None), every(SAX_BOUND_SQL, QUERIES, "p.id")),
+    "lb_violations_every50": (lambda s, d: bound_violations(s, d, None), "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) * count(*) FILTER (WHERE vec_id % 50 = 0) AS BIGINT) AS pairs FROM embeddings"),
+}
