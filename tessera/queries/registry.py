@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.queries import relational, searches, streams, transforms
 
-_ALL = {**searches.QUERIES, **transforms.QUERIES_SQL, **streams.QUERIES, **relational.QUERIES, **searches.EVERY, **transforms.EVERY, **streams.EVERY}
+_ALL = {**searches.QUERIES, **transforms.QUERIES_SQL, **streams.QUERIES, **relational.QUERIES, **transforms.WHOLE, **searches.EVERY, **transforms.EVERY, **streams.EVERY}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

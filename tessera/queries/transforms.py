@@ -71,9 +71,10 @@ Z_KEY_SQL = f"""{_S}, n AS (SELECT id, plane, i // 4 AS q, sum(((v >> ({BITS - 1
 SELECT id, string_agg(substr('0123456789abcdef', CAST(nibble AS INTEGER) + 1, 1), '' ORDER BY plane, q) AS key FROM n GROUP BY id"""
 
 
-def regions(spark, d):
+def regions(spark, d, n=50):
     """Region and midpoint of each symbol of the first segments, at two bits."""
-    w = _sax(spark, d).where(F.col("id") < 50).select("id", F.posexplode("w").alias("i", "s"))
+    words = _sax(spark, d)
+    w = (words if n is None else words.where(F.col("id") < n)).select("id", F.posexplode("w").alias("i", "s"))
     lo, hi = columns.region(columns.symbol_at_bits(F.col("s"), 2, BITS), 2, CUTS)
     return rounded(w.select("id", "i", F.coalesce(lo, F.lit(-9.0)).alias("low"), F.coalesce(hi, F.lit(9.0)).alias("high"), columns.midpoint(F.col("s"), CUTS).alias("middle")))
 
@@ -104,9 +105,10 @@ EQUI_SAX_SQL = f"""WITH {_Z}, {_P}, q AS (SELECT unnest(quantile_cont(v, [{", ".
 x AS (SELECT i, (SELECT count(*) FROM q WHERE cut < v) AS symbol FROM p) SELECT i, symbol, count(*) AS n FROM x GROUP BY i, symbol"""
 
 
-def envelopes(spark, d):
+def envelopes(spark, d, n=QUERIES):
     up, lo = columns.envelope(F.col("series"), BAND)
-    e = series(spark, d).where(F.col("id") < QUERIES).select("id", up.alias("u"), lo.alias("l"))
+    s = series(spark, d)
+    e = (s if n is None else s.where(F.col("id") < n)).select("id", up.alias("u"), lo.alias("l"))
     return rounded(e.select("id", F.posexplode(F.arrays_zip("u", "l")).alias("i", "x")).select("id", "i", F.col("x.u").alias("upper"), F.col("x.l").alias("lower")))
 
 
@@ -236,6 +238,11 @@ QUERIES_SQL = {
     "index_statistics": (index_statistics, STATISTICS_SQL),
 }
 
+#: Transforms of all rows, of which the queries without the ending take the first ids.
+WHOLE = {
+    "envelope_all": (lambda s, d: envelopes(s, d, None), ENVELOPE_SQL.replace(f" WHERE id < {QUERIES}\n", "\n")),
+    "symbol_regions_all": (lambda s, d: regions(s, d, None), REGION_SQL.replace(" WHERE id < 50", "")),
+}
 #: Bounds for the query set of every id divisible by 50.
 EVERY = {
     "lb_keogh_pairs_every50": (lambda s, d: keogh_pairs(s, d, None), every(KEOGH_SQL)), "lb_sax_pairs_every50": (lambda s, d: sax_bounds(s, d, None), every(SAX_BOUND_SQL, QUERIES, "p.id")),

@@ -46,3 +46,14 @@ def test_blocks_give_the_rows_of_one_batch(spark):
     s, q = tables.series(spark, SF), tables.queries(spark, SF, None)
     run = lambda b: search.search(s, b, searches.TOP)
     assert sorted(map(tuple, tables.in_blocks(q, run, 2000).collect())) == sorted(map(tuple, run(q).collect()))
+
+
+@pytest.mark.parametrize("name", ["envelope_all", "symbol_regions_all"])
+def test_every_row_is_transformed(spark, name):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")
+    got = __spark_entry__.queries()[name](spark, SF)
+    want = sorted(db.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()[name]})").fetchall())
+    rows = sorted(map(tuple, got.collect()))
+    assert np.allclose(np.array(rows, float), np.array(want, float), atol=2e-5)
+    assert {r[0] for r in rows} == {r[0] for r in db.execute("SELECT vec_id FROM embeddings").fetchall()}
