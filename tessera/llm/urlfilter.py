@@ -26,6 +26,8 @@ from tessera.llm._shared import Scratch
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 #: Rules are part of the plan, so there may not be many.
 MOST_RULES = 1000
+#: Levels of templates that pages without labels get too.
+USUAL = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,15 +50,21 @@ def apply_rules(host: Column, path: Column, rules: Sequence[tuple[str, str]]) ->
     return rule, verdict
 
 
-def shape(path: Column, depth: int) -> Column:
-    """The first ``depth`` segments, variable-looking ones as ``*``; what is deeper is one ``**``."""
+def shape(path: Column, depth: int | None) -> Column:
+    """The first ``depth`` segments, or all of them, variable-looking ones as ``*``; what is deeper is one ``**``."""
     segments = F.filter(F.split(path, "/"), lambda s: s != "")
     general = F.transform(segments, lambda s: F.when(s.rlike(r"^[0-9._-]*[0-9][0-9._-]*$|^[0-9a-fA-F-]{16,}$|[0-9]{5,}"), "*").otherwise(s))
+    if depth is None:
+        return general
     return F.when(F.size(general) > depth, F.concat(F.slice(general, 1, depth), F.array(F.lit("**")))).otherwise(general)
 
 
-def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, depth: int = 4, cut: float = 0.5, strength: float = 2.0, prior: float = 0.0, z: float = 1.96, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row for each row of ``df``: id, host, path, rule, verdict, template, purity."""
+def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, depth: int | None = None, cut: float = 0.5, strength: float = 2.0, prior: float = 0.0, z: float = 1.96, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row for each row of ``df``: id, host, path, rule, verdict, template, purity.
+
+    The tree has as many levels as the longest labelled path has segments, and ``USUAL`` where paths are that long: below
+    the last label a branch can only inherit its parent's purity. ``depth`` keeps fewer segments.
+    """
     s = Scratch(df.sparkSession, "urls")
     host, path = host_and_path(F.col(url_col))
     pages = df.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
@@ -65,7 +73,7 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, depth:
     labelled, blocked = F.col("ruled").isNotNull().cast("long"), (F.coalesce(F.col("ruled"), F.lit("")) == "block").cast("long")
     tree = pages.groupBy("host", "shape").agg(F.sum(labelled).alias("nl"), F.sum(blocked).alias("nb"))
     tree = s.write(tree)
-    total = tree.agg(F.sum("nl"), F.sum("nb")).first()
+    total = tree.agg(F.sum("nl"), F.sum("nb"), F.max(F.when(F.col("nl") > 0, F.size("shape"))), F.max(F.size("shape"))).first()
     whole = ((total[1] or 0) + strength * prior) / ((total[0] or 0) + strength)
 
     def smoothed(t: DataFrame, above: Column) -> DataFrame:
@@ -73,7 +81,7 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, depth:
         return t.withColumn("__above", above).join(sums, "node").withColumn("purity", (F.col("__b") + strength * F.col("__above")) / (F.col("__l") + strength)).drop("__l", "__b", "__above")
 
     tree = s.write(smoothed(tree.withColumn("node", F.col("host")), F.lit(whole)))
-    for d in range(depth + 1):
+    for d in range(max(total[2] or 0, min(total[3] or 0, USUAL))):
         tree = tree.withColumn("seg", F.get(F.col("shape"), d))
         branches = tree.where("seg is not null").groupBy("node", "seg").agg(F.sum("nl").alias("cl"), F.sum("nb").alias("cb"))
         parents = branches.groupBy("node").agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"))

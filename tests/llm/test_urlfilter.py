@@ -51,3 +51,14 @@ def test_template_tree_learns_what_is_significant(spark):
 
 def test_empty(spark):
     assert urlfilter.filter_urls(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_labels_below_the_fourth_segment(spark):
+    rules = [("block", "h.com/a/b/c/d/e/ads/x/"), ("allow", "h.com/a/b/c/d/e/news/x/")]
+    top = "http://h.com/a/b/c/d/e"
+    urls = [f"{top}/ads/x/{i}" for i in range(30)] + [f"{top}/news/x/{i}" for i in range(60)] + [f"{top}/ads/other", f"{top}/news/other/deeper/still/1/2/3"]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r for r in urlfilter.filter_urls(df, rules).collect()}
+    assert len(got) == len(urls)
+    assert got[90].rule is None and got[90].verdict == "block"
+    assert got[91].rule is None and got[91].verdict == "allow"
