@@ -89,7 +89,7 @@ def mix_sources(
 
 def apply_mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0, most: float = 3.0, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: each row of ``df`` once for each time that it is taken whole, and, where a source's budget ends
-    inside it, once with its first words only. All columns of ``df``, in its types.
+    inside it, once with its first words only, whose characters ``n_chars`` then counts. All columns of ``df``, in its types.
 
     Rows that share id, source and size are given their shares in any order.
     """
@@ -104,7 +104,10 @@ def apply_mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
     mixed = ranked.join(shares, join).withColumn("__left", F.explode(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))))
     part = F.least(F.col("size"), F.col("taken") - F.col("__left") * F.col("size"))
     cut = F.when(part < F.col("size"), first_words(own_text, part)).otherwise(own_text)
-    return mixed.select(*(cut.alias(c) if c == text_col else F.col(carried[c]).alias(c) for c in df.columns))
+    values = {c: F.col(carried[c]) for c in df.columns} | {text_col: cut}
+    if "n_chars" in values:
+        values["n_chars"] = F.when(part < F.col("size"), F.length(cut).cast(df.schema["n_chars"].dataType)).otherwise(values["n_chars"])
+    return mixed.select(*(v.alias(c) for c, v in values.items()))
 
 
 def first_words(text: Column, n: Column) -> Column:

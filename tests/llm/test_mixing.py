@@ -51,3 +51,11 @@ def test_sizes(spark):
 def test_empty_tables(spark):
     assert mixing.mix_sources(frame(spark, [])).count() == 0
     assert [r.taken for r in mixing.mix_sources(frame(spark, [(1, None, None), (2, " ", "a")])).collect()] == [0, 0]
+
+
+def test_a_cut_text_has_its_own_length(spark):
+    rows = [(i, "é " * (3 + i) + "end", "ab"[i % 2], "en", 0) for i in range(8)]
+    df = spark.createDataFrame([(d, t, lang, s, len(t)) for d, t, s, lang, _ in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.apply_mix(df).collect()
+    assert any(r.text not in {t for _, t, *_ in rows} for r in got)
+    assert all(r.n_chars == len(r.text) for r in got)
