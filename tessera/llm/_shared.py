@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -51,7 +50,13 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.n}"
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path)
+        conf = self.spark.conf
+        before = conf.get(_CLEANUP)
+        conf.set(_CLEANUP, "true")  # the shuffles of this write go as soon as it has ended
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.set(_CLEANUP, before)
         back = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(back)] = path
         back._scratch_path = path
@@ -61,13 +66,6 @@ class Scratch:
         for frame in frames:
             _delete(self.spark, frame._scratch_path)
 
-    def free_shuffles(self) -> None:
-        """Lets Spark's cleaner drop the shuffle files of finished stages now rather than at some later collection."""
-        for _ in range(2):  # the first lets Python's handles go, the second what only they held
-            gc.collect()
-            time.sleep(0.3)
-            self.spark.sparkContext._jvm.System.gc()
-
 
 _TO_CLEAN: list[Scratch] = []
 

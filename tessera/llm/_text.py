@@ -114,9 +114,16 @@ def shingle_hashes(hashes: np.ndarray, counts: np.ndarray, k: int, short: bool =
     return out, own, at
 
 
+def grouped_order(values: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """The order by owner, then value."""
+    order = np.argsort(values)
+    own = owner[order]
+    return order[np.argsort(own.astype(np.uint16) if len(own) and own.max() < 1 << 16 else own, kind="stable")]
+
+
 def sets(values: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Each text's distinct values, ascending, one after the other; and their number by text."""
-    order = np.lexsort((values, owner))
+    order = grouped_order(values, owner)
     values, owner = values[order], owner[order]
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])

@@ -1,53 +1,90 @@
 """Chunks of whole documents, and dictionaries exchanged between chunks and hash buckets.
 
 Operators that look something up for every word or byte of a corpus would make too many rows for a shuffle. Here a
-chunk (a range of ids, about ``CHUNK`` bytes of text) sends each bucket one row with the distinct 64-bit keys it has
-there, sorted and gap-coded; the bucket answers each chunk with one row of values in the same order. A key that every
-document holds costs one entry a chunk, so no key is hot, and neither side holds more than a chunk or a bucket.
+chunk (whole documents, about ``CHUNK`` bytes of text) sends each bucket one row with the distinct keys it has there,
+sorted and gap-coded; the bucket answers each chunk with one row of values in the same order. A key that every document
+holds costs one entry a chunk, so no key is hot, and neither side holds more than a chunk or a bucket. Both numbers
+follow the input without a cap; there are never more rows than keys.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._shared import partitions
+from tessera.llm._shared import Scratch, partitions
 
 CHUNK = 4 << 20
-#: Bytes of text for each bucket, and the most buckets and chunks; beyond those both grow instead.
+#: Bytes of text for each bucket.
 BUCKET = 16 << 20
-MOST_BUCKETS = 1 << 14
-MOST_CHUNKS = 1 << 17
+#: So many chunks (or buckets) have those sizes; beyond, they grow with the input up to ``GROWN`` times.
+USUAL = 1 << 13
+GROWN = 8
 
 
 @dataclass(frozen=True)
 class Plan:
-    table: DataFrame  # chunk, id, text (and other columns)
+    df: DataFrame
     bits: int  # log2 of the number of buckets
-    size: int  # mean bytes of text of a chunk
-
-
-def plan_chunks(df: DataFrame, id_col: str = "id", text_col: str = "text") -> Plan:
-    """Assigns rows to chunks, ascending with the id; equal ids share a chunk, null ids are in the last."""
-    n = partitions(df.sparkSession)
-    total, rows = df.agg(F.sum(F.octet_length(text_col)), F.count("*")).first()
-    wanted = min(MOST_CHUNKS, max(2 * n, (total or 0) // CHUNK), max(1, rows))
-    bits = max(4, min(MOST_BUCKETS.bit_length() - 1, int((total or 0) // BUCKET).bit_length()))
-    bounds = df.agg(F.percentile_approx(id_col, [i / wanted for i in range(1, wanted)], max(10_000, 4 * wanted))).first()[0] if wanted > 1 else []
-    bounds = sorted(set(bounds or []))
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    if steps:
-        table = F.array(*(F.lit(b) for b in bounds))
-        search = F.aggregate(F.array(*(F.lit(i) for i in steps)), F.lit(0), lambda at, step: at + F.when(F.get(table, at + step - 1) < F.col(id_col), step).otherwise(0))
-        chunk = F.when(F.col(id_col).isNull(), len(bounds)).otherwise(search)
-    else:
-        chunk = F.lit(0)
-    return Plan(df.withColumn("chunk", chunk.cast("int")), bits, (total or 0) // (len(bounds) + 1))
+    chunk: Column  # of a row with the columns id and text
+    total: int  # bytes of text
+    ranges: int = 0  # chunks below this number ascend with the id
+    size: int = 0  # bytes that a chunk is meant to have
+
+    @property
+    def table(self) -> DataFrame:
+        """chunk, id, text (and other columns)"""
+        return self.deal(self.df)
+
+    def deal(self, df: DataFrame) -> DataFrame:
+        """``df`` with the chunk of each row; it has the columns id and text, and may have others."""
+        return df.withColumn("chunk", self.chunk)
+
+
+def _sized(total: int, unit: int, grown: int) -> int:
+    return -(-total // min(grown * unit, max(unit, total // USUAL)))
+
+
+def plan_chunks(df: DataFrame, chunk: int = CHUNK, grown: int = GROWN) -> Plan:
+    """Deals the rows of ``df`` (id, text, ...) out to chunks by a hash of id and text: null and repeated ids are split
+    like any others, and rows that agree in both share a chunk."""
+    total, rows = df.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    total = total or 0
+    n = min(max(2 * partitions(df.sparkSession), _sized(total, chunk, grown)), max(1, rows))
+    bits = max(4, int(_sized(total, BUCKET, grown)).bit_length())
+    return Plan(df, bits, F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"), total)
+
+
+def plan_ranges(s: Scratch, df: DataFrame, chunk: int = CHUNK, grown: int = GROWN) -> Plan:
+    """Cuts the rows of ``df`` (id, text; ids numbers) into chunks that ascend with the id, by prefix sums of their bytes.
+
+    A chunk has about ``chunk`` bytes, or else one id. The cuts, one number a chunk, are broadcast. Rows without an id are
+    dealt out by a hash of the text to chunks from number ``ranges`` on.
+    """
+    from tessera.llm.mixing import prefix_sums
+
+    sizes = s.write(df.groupBy("id").agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("bytes")))
+    known, unknown = sizes.where("id is not null"), sizes.where("id is null")
+    total, without = (x.agg(F.sum("bytes")).first()[0] or 0 for x in (known, unknown))
+    size = max(1, -(-(total + without) // max(2 * partitions(df.sparkSession), _sized(total + without, chunk, grown))))
+    placed = prefix_sums(s, known.withColumn("__all", F.lit(0)), "__all", [F.col("id")], "bytes", "before")
+    cuts = np.sort(np.array([r["id"] for r in placed.groupBy(F.floor(F.col("before") / size)).agg(F.min("id").alias("id")).select("id").collect()]))
+    shared = df.sparkSession.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for ids in batches:
+            yield pd.Series(np.searchsorted(shared.value, ids.fillna(0).to_numpy().astype(shared.value.dtype), side="right") - 1)
+
+    after = len(cuts) + F.pmod(F.xxhash64("text"), F.lit(max(1, -(-without // size))))
+    return Plan(df, max(4, int(_sized(total + without, BUCKET, grown)).bit_length()), F.when(F.col("id").isNull(), after).otherwise(place("id")).cast("int"), total + without, len(cuts), size)
 
 
 def ordered(table: pa.Table) -> pa.Table:
@@ -83,14 +120,12 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<i8")
 
 
-def bucket_edges(sorted_keys: np.ndarray, bits: int) -> np.ndarray:
-    """Where each bucket's keys begin, the end included; a bucket is the top bits of a key."""
-    tops = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+def bucket_edges(sorted_keys: np.ndarray, bits: int, width: int = 64) -> np.ndarray:
+    """Where each bucket's keys begin, the end included; a bucket is the top bits of a key of ``width`` bits."""
+    tops = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(width - bits)
     return np.concatenate(([0], np.searchsorted(sorted_keys, tops), [len(sorted_keys)]))
 
 
 def by_bucket(replies: pa.Table) -> list[dict]:
     """A chunk's replies in the order of its keys."""
     return sorted(replies.to_pylist(), key=lambda r: r["bucket"])
-
-

@@ -364,7 +364,6 @@ def score_documents(df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "
     id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32()}[kind]
     plan = plan_chunks(plain)
     sent = s.write(plan.table.groupBy("chunk").applyInArrow(_count(plan.bits, depth), "kind int, bucket int, chunk int, keys binary, counts binary, tokens long"))
-    s.free_shuffles()
     word_rows, gram_rows = sent.where("kind = 0"), sent.where("kind = 1")
     word_replies = s.write(word_rows.groupBy("bucket").applyInArrow(_answer_words, "chunk int, bucket int, counts binary, known long"))
     ends = plain.where("not held").count()
@@ -377,7 +376,6 @@ def score_documents(df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "
     gram_replies = gram_rows.select("bucket", "chunk", "keys").groupBy("bucket").cogroup(model.where("c < 0").select("bucket", "keys", "p").groupBy("bucket"))
     gram_replies = s.write(gram_replies.applyInArrow(_answer_grams(depth, top), "chunk int, bucket int, logs binary"))
     s.drop(sent, model)
-    s.free_shuffles()
     none = F.lit(None).cast("binary")
     replies = word_replies.select("chunk", "bucket", F.lit(0).alias("kind"), "counts", none.alias("logs")).unionByName(gram_replies.select("chunk", "bucket", F.lit(1).alias("kind"), none.alias("counts"), "logs"))
     kinds = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm._shared import Scratch
 from tessera.llm._text import as_buffer, mix, pieces, shingle_hashes, word_hashes, words
-from tessera.llm.chunks import Plan, bucket_edges, by_bucket, ordered, pack, plan_chunks, unpack
+from tessera.llm.chunks import Plan, bucket_edges, by_bucket, ordered, pack, plan_ranges, unpack
 
 
 def _edges(table: pa.Table, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -69,8 +69,17 @@ def _send(k: int, bits: int, seed: int):
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """For each chunk, which of its keys an earlier chunk has, and the first that has."""
+def _answer(ranges: int):
+    """For each chunk, which of its keys an earlier chunk has, and the first that has. Chunks from ``ranges`` on are all
+    after the others, none before another."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return _firsts(table, ranges)
+
+    return run
+
+
+def _firsts(table: pa.Table, ranges: int) -> pa.Table:
     chunks = table["chunk"].to_numpy()
     order = np.argsort(chunks, kind="stable")
     parts = [unpack(table["keys"][int(i)].as_py()) for i in order]
@@ -81,7 +90,7 @@ def _answer(table: pa.Table) -> pa.Table:
     new[1:] = keys[by][1:] != keys[by][:-1]
     first = np.empty(len(keys), np.int32)
     first[by] = whose[by][np.flatnonzero(new)][np.cumsum(new) - 1]
-    seen = first != whose
+    seen = first < np.minimum(whose, ranges)
     cut = np.concatenate(([0], np.cumsum(sizes)))
     spans = list(zip(cut[:-1], cut[1:], strict=True))
     return pa.table(
@@ -207,20 +216,17 @@ def _run(s: Scratch, df: DataFrame, k: int, id_col: str, text_col: str) -> tuple
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
     id_type = _ARROW[kind]
-    plan = plan_chunks(plain)
+    plan = plan_ranges(s, plain)
     for seed in range(3):
         sent = plan.table.groupBy("chunk").applyInArrow(_send(k, plan.bits, seed), "bucket int, chunk int, keys binary")
-        replies = s.write(sent.groupBy("bucket").applyInArrow(_answer, "chunk int, bucket int, seen binary, source binary"))
-        s.free_shuffles()
+        replies = s.write(sent.groupBy("bucket").applyInArrow(_answer(plan.ranges), "chunk int, bucket int, seen binary, source binary"))
         marked = plan.table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_mark(k, plan.bits, seed, id_type), f"id {kind}, n_words long, n_removed long, kept_sha256 string, src int, start long, path binary")
         marked = s.write(marked)
         s.drop(replies)
-        s.free_shuffles()
         asked = marked.where("src is not null").select("id", "start", F.col("src").alias("chunk"), "path")
         distinct = s.write(asked.groupBy("chunk", "path").agg(F.lit(1).alias("one")).select("chunk", F.md5("path").alias("pid"), "path"))
         spans = _verify(s, plan, distinct, k, seed, id_type, kind)
         s.drop(distinct)
-        s.free_shuffles()
         if not spans.where("not same").limit(1).count():
             return marked.where("src is null"), asked.select("id", "start", "chunk", F.md5("path").alias("pid")), spans.drop("same")
         s.drop(marked, spans)

@@ -58,7 +58,7 @@ def test_against_brute_force(spark, k, percent):
 
 
 def test_large_groups_use_pivots(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "SMALL", 2)
+    monkeypatch.setattr(jaccard, "PART", 2)
     rows = chained(11) + [(d + 9000, t, s) for d, t, s in chained(12)]
     got = jaccard.near_duplicates(frame(spark, rows), k=3, percent=90)
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, 3, 90)
@@ -74,6 +74,50 @@ def test_keeps_one_of_each_component(spark):
     assert sum(r.n_shingles == 0 for r in kept) == sum(n == 0 for _, n, _ in brute(rows, 5, 80))
 
 
+def two_clusters(seed, g=30):
+    """Sets that share tokens of the prefix without being linked: two clusters and single documents around one passage."""
+    r = random.Random(seed)
+    passage = [f"p{i}" for i in range(30)]
+    rows = []
+    for c in range(3):
+        own = [f"c{c}x{i}" for i in range(8)]
+        for i in range(g if c < 2 else 1):
+            w = passage + own
+            if i:
+                w[r.randrange(30, len(w))] = f"z{r.randrange(3)}"
+            rows.append((100 * c + i, " ".join(w), None))
+    return rows
+
+
+@pytest.mark.parametrize("part", [3, 4096])
+def test_unlinked_groups(spark, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "PART", part)
+    rows = two_clusters(1)
+    for k, percent in ((1, 90), (1, 80), (2, 85)):
+        got = jaccard.near_duplicates(frame(spark, rows), k=k, percent=percent)
+        assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, k, percent)
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+def test_every_pair(spark, monkeypatch, k, percent):
+    monkeypatch.setattr(jaccard, "PART", 3)
+    rows = awkward() + [(d + 9000, t, s) for d, t, s in chained(5)] + [(d + 20000, t, s) for d, t, s in two_clusters(2, 8)]
+    pairs, members = jaccard.similar_pairs(frame(spark, rows), k=k, percent=percent)
+    members = members.collect()
+    assert len(members) == len(rows)
+    of = {}
+    for d, c in members:
+        of.setdefault(c, set()).add(d)
+    sets = {}
+    for d, t, _ in rows:
+        if x := shingles(t, k):
+            sets.setdefault(frozenset(x), set()).add(d)
+    assert sum(d is None or not shingles(t, k) for d, t, _ in rows) >= len(of.pop(None, ()))
+    by = {c: next(s for s, ids in sets.items() if ids == m) for c, m in of.items()}
+    want = {frozenset((a, b)): len(a & b) for a in sets for b in sets if a != b and 100 * len(a & b) >= percent * len(a | b)}
+    assert {frozenset((by[r.a], by[r.b])): r.shared for r in pairs.collect()} == want
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(r.randrange(200, 260), r.randrange(200, 260)) for _ in range(40)] + [(300, 300)]
