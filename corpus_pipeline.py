@@ -52,5 +52,4 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = s.write(stage(spark, docs, sf_dir))
-        s.free_shuffles()
     return STAGES[-1][1](spark, docs, sf_dir)
