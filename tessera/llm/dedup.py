@@ -21,13 +21,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.llm._shared import Scratch
 
 BLOCK = 1024
 #: Bytes of distinct blocks after which a chunk's dictionary is emitted and emptied.
 CHUNK = 32 << 20
+#: Dropped ids that may be broadcast, 16 bytes each.
+FEW = 1_000_000
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _LOCAL = "kind int, id {id}, row long, cls long, n int, reps array<long>, rep long, block binary, sha string"
 _FIELDS = ["kind", "id", "row", "cls", "n", "reps", "rep", "block", "sha"]
 
@@ -90,8 +92,9 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = df.schema[id_col].dataType.simpleString()
     local = s.write(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_local_names(block, chunk, kind), _LOCAL.format(id=kind)))
 
-    run = Window.partitionBy("block")
-    names = s.write(local.where("kind = 0").select("block", "rep").select("rep", F.min("rep").over(run).alias("name")))
+    found = local.where("kind = 0").select("block", "rep")
+    least = found.groupBy("block").agg(F.min("rep").alias("name"))
+    names = s.write(found.join(least, "block").select("rep", "name"))
     level = local.where("kind = 1").select("cls", "n", F.posexplode("reps").alias("i", "rep")).join(names, "rep").select("cls", "n", F.col("n").alias("m"), "i", "name")
     level = s.write(level)
     s.drop(names)
@@ -122,9 +125,20 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def drop_exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``df`` without the rows that ``exact_duplicates`` drops, with all its columns."""
-    keep = exact_duplicates(df, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    marked = df.withColumn("__own", F.sha2(lower.cast("binary"), 256))
-    stay = marked.join(keep, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha")), "left_semi")
-    return stay.dropDuplicates([id_col, "__own"]).drop("__own")
+    """``df`` without the rows that ``exact_duplicates`` drops, with all its columns.
+
+    Rows whose id no dropped row has stay as they are: while at most ``FEW`` ids are dropped these are broadcast and no text
+    moves, beyond that one join by id moves it. Rows with such an id are told apart by their text; of rows that agree in
+    both, one stays.
+    """
+    s = Scratch(df.sparkSession, "drop")
+    judged = s.write(exact_duplicates(df, id_col, text_col).select(F.col(id_col).alias("__id"), "kept", F.col("text_sha256").alias("__sha")))
+    touched = s.write(judged.where("not kept").select("__id").distinct())
+    if touched.count() <= FEW:
+        touched = F.broadcast(touched)
+    same = F.col(id_col).eqNullSafe(F.col("__id"))
+    clean = df.join(touched, same, "left_anti")
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), _UPPER, _UPPER.lower())
+    unclear = df.join(touched, same, "left_semi").withColumn("__own", F.sha2(lower.cast("binary"), 256))
+    stay = unclear.join(judged.where("kept"), same & (F.col("__own") == F.col("__sha")), "left_semi")
+    return clean.unionByName(stay.dropDuplicates([id_col, "__own"]).drop("__own"))

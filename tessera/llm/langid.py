@@ -4,10 +4,12 @@ A text's vector counts its byte 1-, 2- and 3-grams (A-Z lower-cased, runs of oth
 weighs by inverse document frequency over all training documents, and has length 1. Each language's sampled vectors
 are clustered into ``clusters`` centroids (spherical k-means, farthest-first starts). The language of the nearest
 centroid wins; a text is rejected when it has no letter, or when its cosine is under ``slack`` times the first
-percentile of its language's training cosines.
+percentile that windows of its length, cut from the middle of the language's sampled texts, have: short texts have lower
+cosines than long ones, so one limit can't serve both. Texts under 8 bytes are rejected only if they have no letter.
 
-The fit reads a sample of about ``sample`` labelled documents a language, chosen by a hash of their id; document
-frequencies are counted over all training documents, and every whole text is scored.
+The fit reads a sample of about ``sample`` labelled documents a language, chosen by a hash of id and text (four times as
+many at most); document frequencies are counted over all training documents, and every whole text is scored. A task
+clusters each language; the driver gets ``clusters`` centroids and ten limits a language.
 
 Null, empty and letterless texts get ``und`` and score 0. Ties go to the language that is first in code-point order.
 Without any labelled document every text gets ``und``. Only the named columns are read.
@@ -28,7 +30,9 @@ from tessera.llm._text import LOWER, as_buffer, pieces
 DIM = 4096
 SAMPLE = 256
 CLUSTERS = 3
-SLACK = 0.25
+SLACK = 0.7
+#: Windows of 2^LENGTHS bytes set the limits.
+LENGTHS = range(3, 12)
 #: More labels than this are taken for a mistake in the label column.
 MOST_LANGUAGES = 1000
 #: A-Z lower-cased, every other byte of ASCII that is no letter a space.
@@ -43,7 +47,7 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray  # rows of length 1
     owner: np.ndarray  # the language of each row
-    least: np.ndarray  # the cosine under which each language rejects
+    least: np.ndarray  # by language and length (log2 of bytes): the cosine under which it rejects
 
 
 def blocks(column: pa.Array, rows: int = 256) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -113,29 +117,34 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     n = found.get(dim, 0)
     idf = np.array([np.log((1 + n) / (1 + found.get(i, 0))) + 1 for i in range(dim)], np.float32)
     if not sizes:
-        return Model((), idf, np.zeros((0, dim), np.float32), np.zeros(0, int), np.zeros(0))
+        return Model((), idf, np.zeros((0, dim), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS.stop)))
 
     limits = F.create_map(*(x for k, v in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, sample / v) * 2**31)))))
-    chosen = rows.where(F.xxhash64(F.lit(17), F.col("id")).bitwiseAND(2**31 - 1) < limits[F.col("lang")])
+    chosen = rows.where(F.xxhash64(F.lit(17), F.col("id"), F.col("text")).bitwiseAND(2**31 - 1) < limits[F.col("lang")])
 
-    def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, d, o in blocks(batch.column(0)):
-                v = vectors(gram_counts(d, o, dim), idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), pa.array([x.tobytes() for x in v], pa.binary())], ["lang", "v"])
-
-    drawn = chosen.select("text", "lang").mapInArrow(vectorise, "lang string, v binary").limit(4 * sample * len(sizes)).collect()
-    languages = tuple(sorted({r["lang"] for r in drawn}, key=lambda x: x.encode()))
-    centroids, owner, least = [], [], []
-    for i, lang in enumerate(languages):
-        x = np.stack([np.frombuffer(v, np.float16) for v in sorted(bytes(r["v"]) for r in drawn if r["lang"] == lang)]).astype(np.float32)
-        c = cluster(x, clusters)
-        centroids.append(c)
-        owner += [i] * len(c)
-        least.append(slack * float(np.percentile((x @ c.T).max(axis=1), 1)))
-    if not languages:
-        return Model((), idf, np.zeros((0, dim), np.float32), np.zeros(0, int), np.zeros(0))
-    return Model(languages, idf, np.concatenate(centroids), np.array(owner), np.array(least))
+    def learn(table: pa.Table) -> pa.Table:
+        raw = sorted(x.as_py().encode() for x in table["text"])
+        whole = _matrix(raw, idf)
+        c = cluster(whole, clusters)
+        least = [0.0] * LENGTHS.start
+        for e in LENGTHS:
+            windows = [x[(len(x) - 2**e) // 2 :][: 2**e].decode(errors="ignore").encode() for x in raw if len(x) >= 2**e]
+            least.append(slack * float(np.percentile((_matrix(windows, idf) @ c.T).max(axis=1), 1)) if windows else least[-1])
+        return pa.table({"lang": [table["lang"][0].as_py()], "centroids": [c.astype(np.float32).tobytes()], "least": [least]}, schema=pa.schema([("lang", pa.string()), ("centroids", pa.binary()), ("least", pa.list_(pa.float64()))]))
+
+    drawn = chosen.select("text", "lang").limit(4 * sample * len(sizes))
+    found = sorted(drawn.groupBy("lang").applyInArrow(learn, "lang string, centroids binary, least array<double>").collect(), key=lambda r: r["lang"].encode())
+    if not found:
+        return Model((), idf, np.zeros((0, dim), np.float32), np.zeros(0, int), np.zeros((0, LENGTHS.stop)))
+    centroids = [np.frombuffer(r["centroids"], np.float32).reshape(-1, dim) for r in found]
+    owner = np.repeat(np.arange(len(found)), [len(c) for c in centroids])
+    return Model(tuple(r["lang"] for r in found), idf, np.concatenate(centroids), owner, np.array([r["least"] for r in found]))
+
+
+def _matrix(raw: list[bytes], idf: np.ndarray) -> np.ndarray:
+    """The vectors of texts."""
+    parts = [vectors(gram_counts(d, o, len(idf)), idf) for _, _, d, o in blocks(pa.array([x.decode() for x in raw], pa.large_string()))]
+    return np.concatenate(parts) if parts else np.zeros((0, len(idf)), np.float32)
 
 
 def predict(df: DataFrame, model: Model, keep: dict[str, str], text_col: str = "text") -> DataFrame:
@@ -158,7 +167,8 @@ def predict(df: DataFrame, model: Model, keep: dict[str, str], text_col: str = "
                     best = cosines.argmax(axis=1)
                     lang = np.where(has, m.owner[best], len(m.languages))
                     score = np.where(has, np.clip(cosines[np.arange(b - a), best], 0, 1), 0.0).astype(np.float64)
-                    rejected = ~has | (score < m.least[m.owner[best]])
+                    length = np.minimum(np.floor(np.log2(np.maximum(np.diff(o), 1))).astype(np.int64), LENGTHS.stop - 1)
+                    rejected = ~has | (score < m.least[m.owner[best], length])
                 else:
                     lang, score, rejected = np.zeros(b - a, int), np.zeros(b - a), np.ones(b - a, bool)
                 yield pa.RecordBatch.from_arrays(

@@ -26,14 +26,15 @@ from tessera.llm._text import as_buffer, pieces, words
 def word_counts(df: DataFrame, keep: dict[str, str], text_col: str = "text") -> DataFrame:
     """Columns of ``df`` under new names, and ``size``: the words of each whole text."""
     kinds = ", ".join(f"{new} {df.schema[old].dataType.simpleString()}" for old, new in keep.items())
+    at = [*keep].index(text_col) if text_col in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = as_buffer(batch.column(len(keep)))
+            data, offsets = as_buffer(batch.column(at))
             sizes = [words(d, o)[2] for _, _, d, o in pieces(data, offsets)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], [*keep.values(), "size"])
 
-    return df.select(*(F.col(o).alias(n) for o, n in keep.items()), F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}, size long")
+    return df.select(*(F.col(o).alias(n) for o, n in keep.items()), *([F.col(text_col).alias("__text")] if at == len(keep) else [])).mapInArrow(run, f"{kinds}, size long")
 
 
 def prefix_sums(s: Scratch, df: DataFrame, group: str, order: Sequence[Column], value: str, out: str) -> DataFrame:

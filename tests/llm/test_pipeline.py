@@ -14,18 +14,18 @@ from tests.llm.test_mixing import size, targets
 def test_each_stage_against_brute_force(spark, tmp_path):
     frame(spark, awkward()).write.parquet(str(tmp_path / "documents.parquet"))
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    kept = {}
+    kept, columns = {}, docs.columns
     for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs.collect()
         stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"s{i}"))
         docs = spark.read.parquet(str(tmp_path / f"s{i}"))
         kept[name] = after = docs.collect()
         if name != "bpe":
-            assert docs.columns == corpus_pipeline.COLUMNS
+            assert docs.columns == columns
             texts = {(r.doc_id, r.text) for r in before}
         if name == "language_id":
             assert {(r.doc_id, r.text) for r in after} <= texts
-            assert all(r in after for r in [(x.doc_id, x.text, x.lang, x.source, x.n_chars) for x in before if x.text and 40 < len(x.text) < 1000])
+            assert all(r in after for r in [(x.doc_id, x.text, x.lang, x.source, x.n_chars, x.id, x.row, x.token, x.chunk) for x in before if x.text and 40 < len(x.text) < 1000])
             assert not [r for r in after if not (r.text or "").strip()]
         elif name == "exact_dedup":
             assert sorted(lower(r.text) for r in after) == sorted({lower(r.text) for r in before})
@@ -50,3 +50,13 @@ def test_each_stage_against_brute_force(spark, tmp_path):
             assert sorted(map(tuple, after), key=repr) == sorted(want, key=repr)
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted(map(repr, again)) == sorted(map(repr, kept["bpe"]))
+
+
+def test_empty_table(spark, tmp_path):
+    frame(spark, []).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_without_other_columns(spark, tmp_path):
+    frame(spark, awkward()[:30]).select("doc_id", "text", "lang", "source").write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
