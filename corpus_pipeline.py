@@ -2,7 +2,8 @@
 
 1. language ID: documents that it rejects go; 2. exact dedup: one row of equal texts stays; 3. n-gram Jaccard join over
 five-word shingles at 0.8: one document of each group stays; 4. mixing: documents repeat or go as their source's budget
-says; 5. BPE: ids and decoded text as digests. Stages 1 to 4 return the columns of ``documents``.
+says; 5. BPE: ids and decoded text as digests. Stages 1 to 4 return the columns of the table that they get, whichever
+these are besides ``doc_id``, ``text``, ``lang`` and ``source``. An empty table gives empty results.
 """
 
 from __future__ import annotations
@@ -14,31 +15,32 @@ from pyspark.sql import functions as F
 from tessera.llm import bpe, dedup, jaccard, langid, mixing
 from tessera.llm._shared import Scratch
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learns from the labelled documents of the input outside fold 2; drops what is far from all languages."""
     model = langid.fit(docs.where(langid.fold("doc_id", 4) != 2))
-    keep = {c: f"c{i}" for i, c in enumerate(COLUMNS)}
+    keep = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     return langid.predict(docs, model, keep).where("not rejected").select(*(F.col(v).alias(k) for k, v in keep.items()))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return dedup.drop_exact_duplicates(docs.select(*COLUMNS))
+    """One row of equal texts stays: that of the largest id. Null and empty texts are equal."""
+    return dedup.drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(docs.select(*COLUMNS), k=5, percent=80, keep_all=True).where("kept").select(*COLUMNS)
+    """One row of each connected group of near copies stays: that of the least id. Texts without a word all stay."""
+    return jaccard.near_duplicates(docs, k=5, percent=80, keep_all=True).where("kept").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands as often as the mix takes it, the last time cut to the words that fill the budget."""
-    return mixing.apply_mix(docs.select(*COLUMNS))
+    return mixing.apply_mix(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(docs.select(*COLUMNS), public_tokenizers.path("byte_bpe_50k.json"))
+    """doc_id, n_tokens and the digests of ids and decoded text of every row; a null text counts as empty."""
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixing", mixing_stage), ("bpe", bpe_stage)]
