@@ -11,8 +11,9 @@ first; they differ in how finely frequencies are told apart, and in a hash that
 2. Equal sets are one class (128-bit digests); from here on a class is one node, however many copies it has. A class
    that is left has postings (prefix tokens of the first order), its prefixes under the other orders, and its set.
 3. Classes meet in a native join by token. Its condition holds the size filter, the positional filter (a pair can only
-   link if the places left after its first common token suffice) and a bound on the symmetric difference from parity
-   bits, so a pair that can't link is no row. The pairs then have to overlap in the prefixes of every other order, and
+   link if the places left after its first common token suffice), a bound on the symmetric difference from parity
+   bits, and for frequent tokens that the two have no earlier prefix token in common: so a pair that can't link is no
+   row, nor one that another token makes. The pairs then have to overlap in the prefixes of every other order, and
    the intersection of their sets is counted.
 4. In each token's group one pivot meets all others first. Links hook classes into components; in a group that still
    holds several, one class of each component meets all other components; after that all classes outside the group's
@@ -44,6 +45,8 @@ from tessera.llm.components import components
 
 #: Classes in one part of a token's group.
 PART = 4096
+#: Level of a token whose postings say what is posted before them: that of 16 classes.
+FREQUENT = 32
 #: Words of 64 parity bits.
 PARITY = 8
 #: Key bits beyond those that number the corpus's tokens: one token in 2^SPARE shares its key by chance.
@@ -188,9 +191,15 @@ def _post(k: int, percent: int, orders: int, width: int, bits: int, schema: pa.S
         parity = np.bincount(owner * (64 * PARITY) + bit.astype(np.int64), minlength=table.num_rows * 64 * PARITY) & 1
         parity = np.packbits(parity.astype(np.uint8).reshape(table.num_rows, PARITY, 64), axis=2).view(">i8").reshape(-1, PARITY).astype(np.int64)
         tokens, whose = values[at], owner[at]
+        # what a class posts before a frequent token, so that a pair is made at its first common token only
+        nth = np.arange(len(at)) - np.searchsorted(whose, whose)
+        known = np.where(of_token[at] >= FREQUENT, nth, 0)
+        ends = np.cumsum(known)
+        flat = tokens[np.repeat(np.arange(len(at)) - nth, known) + np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - known, known)]
+        before = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat.view(np.int64)))
         parts = 1 + (np.exp2(of_token[at] / 8).astype(np.int64) // PART)
         part = (mix(row.astype(np.uint64))[whose] % parts.astype(np.uint64)).astype(np.int64)
-        out.append(rows(1, len(at), row=row[whose], n=own.counts[whose], token=tokens.view(np.int64), place=place, parts=parts, part=part, **{f"p{i}": parity[whose, i] for i in range(PARITY)}))
+        out.append(rows(1, len(at), row=row[whose], n=own.counts[whose], token=tokens.view(np.int64), place=place, parts=parts, part=part, before=before, **{f"p{i}": parity[whose, i] for i in range(PARITY)}))
         who = np.flatnonzero(live)
         others = {}
         for m in range(1, orders):
@@ -241,7 +250,7 @@ def _candidates(s: Scratch, plain: DataFrame, k: int, percent: int, orders: int)
     replies = s.write(sent.groupBy("bucket").applyInArrow(_frequencies, "chunk int, bucket int, many binary, levels binary"))
     others = ", ".join(f"o{m} array<long>" for m in range(1, orders))
     id_type = plain.schema["id"].dataType
-    kinds = f"kind int, row long, n long, d1 long, d2 long, id {id_type.simpleString()}, token long, place long, parts long, part long, {', '.join(f'p{i} long' for i in range(PARITY))}, set binary{', ' + others if others else ''}"
+    kinds = f"kind int, row long, n long, d1 long, d2 long, id {id_type.simpleString()}, token long, place long, parts long, part long, before array<long>, {', '.join(f'p{i} long' for i in range(PARITY))}, set binary{', ' + others if others else ''}"
     from pyspark.sql.pandas.types import to_arrow_schema
 
     schema = to_arrow_schema(plain.sparkSession.createDataFrame([], kinds).schema)
@@ -252,7 +261,7 @@ def _candidates(s: Scratch, plain: DataFrame, k: int, percent: int, orders: int)
     alike = docs.where("n > 0").groupBy("d1", "d2", "n")
     classes = s.write(alike.agg(F.min("row").alias("cls"), F.min("id").alias("min_id"), F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")))
     chosen = classes.select(F.col("cls").alias("row"))
-    posts = made.where("kind = 1").join(chosen, "row", "left_semi").select("token", F.col("row").alias("cls"), "n", "place", "parts", "part", *(f"p{i}" for i in range(PARITY)))
+    posts = made.where("kind = 1").join(chosen, "row", "left_semi").select("token", F.col("row").alias("cls"), "n", "place", "parts", "part", "before", *(f"p{i}" for i in range(PARITY)))
     found = made.where("kind = 2").select(F.col("row").alias("cls"), "set", *(f"o{m}" for m in range(1, orders)))
     return _Candidates(plan, docs, classes, s.write(posts), found)
 
@@ -272,6 +281,7 @@ def _meet(pivots: DataFrame, posts: DataFrame, percent: int, also: Column) -> Da
         100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n"),
         (100 + percent) * F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) >= percent * n,
         (100 + percent) * differ <= (100 - percent) * n,
+        ~F.arrays_overlap("a_before", "b_before"),
     ]
     same = [F.col("a.token") == F.col("b.token"), F.col("a.part") == F.col("b.part")]
     on = same[0]
