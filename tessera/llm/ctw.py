@@ -4,7 +4,7 @@ A byte is eight binary decisions; each of the 255 decision nodes has its own con
 before. A node holds how often its decision went either way in training; its Krichevsky-Trofimov estimate and the
 product of its children's weighted probabilities are mixed half and half, from the deepest contexts up. With the counts
 frozen this gives each decision a probability that mixes the estimates of all depths, and a text the sum of logarithms
-(a zero byte stands for the end of a text, and for each byte before its start).
+(a byte that UTF-8 never uses stands for the end of a text, and for each byte before its start).
 
 A probability depends on a byte and its context only, so the model is a table of distinct (depth + 1)-grams. Chunks of
 documents send their distinct grams and words with training counts to buckets; a bucket of grams holds whole subtrees
@@ -23,12 +23,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tessera.llm._shared import Scratch
 from tessera.llm._text import LOWER, as_buffer, pieces, word_hashes, words
 from tessera.llm.chunks import bucket_edges, by_bucket, ordered, pack, pack_counts, plan_chunks, unpack, unpack_counts
 
-DEPTH = 7
+DEPTH = 5
+#: Stands for the end of a text and for each byte before its start; no UTF-8 text holds it.
+END = 0xFF
 #: The deepest context whose grams, with the byte itself, are 64-bit keys.
 MOST = 7
 #: Buckets of grams are 2^FINER times those of words; so many grams of a bucket are worked on at once.
@@ -68,21 +71,20 @@ def log_kt_counts(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """For each byte of each text and its end: the context, nearest byte first, then the byte, in one integer; and the text."""
-    n = len(offsets) - 1
-    padded = np.zeros(len(data) + n * (depth + 1), np.uint64)
-    sizes = np.diff(offsets)
-    owner = np.repeat(np.arange(n), sizes)
-    at = np.arange(len(data)) + (owner + 1) * depth + owner
-    padded[at] = LOWER[data]
-    begin = offsets[:-1] + np.arange(n) * (depth + 1)
-    use = np.ones(len(padded), bool)
-    for i in range(depth):
-        use[begin + i] = False
-    use = np.flatnonzero(use)
-    code = np.zeros(len(use), np.uint64)
-    for back in range(1, depth + 1):
-        code = code << np.uint64(8) | padded[use - back]
-    return code << np.uint64(8) | padded[use], np.repeat(np.arange(n), sizes + 1)
+    n, sizes = len(offsets) - 1, np.diff(offsets)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    padded = np.full(len(data) + n * (MOST + 1), END, np.uint8)
+    padded[np.arange(len(data)) + owner.astype(np.int64) * (MOST + 1) + MOST] = LOWER[data]
+    if not n:
+        return np.zeros(0, np.uint64), owner
+    # the eight bytes up to each one, the latest on top
+    window = np.ndarray((len(padded) - MOST,), "<u8", padded, strides=(1,))
+    use = np.ones(len(window), bool)
+    begin = offsets[1:-1] + np.arange(1, n) * (MOST + 1)
+    for i in range(MOST):
+        use[begin - MOST + i] = False
+    window = window[use]
+    return window << np.uint64(8) >> np.uint64(8 * (8 - depth)) << np.uint64(8) | window >> np.uint64(56), np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
 
 
 def spread(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -230,16 +232,17 @@ def _count(bits: int, depth: int):
         chunk = table["chunk"][0].as_py()
         data, offsets = as_buffer(table["text"])
         train = 1 - table["held"].to_numpy().astype(np.int64)
-        word_parts, gram_parts = [], []
+        word_parts, all_keys, all_held = [], [], []
         for a, b, d, o in pieces(data, offsets):
             low = LOWER[d]
             st, en, counts = words(low, o)
             word_parts.append(_distinct(word_hashes(low, st, en), np.repeat(train[a:b], counts)))
             codes, owner = grams(d, o, depth)
             keys, learned = spread(codes, depth), train[a:b][owner] == 1
-            gram_parts.append(_runs(keys[learned]))
-            held = _runs(keys[~learned])[0]
-            gram_parts.append((held, np.zeros(len(held), np.int64)))
+            all_keys.append(keys[learned])
+            all_held.append(keys[~learned])
+        held = _runs(np.concatenate(all_held or [np.zeros(0, np.uint64)]))[0]
+        gram_parts = [_runs(np.concatenate(all_keys or [np.zeros(0, np.uint64)])), (held, np.zeros(len(held), np.int64))]
         out: dict[str, list] = {c: [] for c in ("kind", "bucket", "chunk", "keys", "counts", "tokens")}
         for kind, parts in ((0, word_parts), (1, gram_parts)):
             keys, counts = _lookup(parts)
@@ -280,7 +283,7 @@ def _grow(depth: int):
 
     def run(table: pa.Table) -> pa.Table:
         keys, n = _lookup([p[1:] for p in _parts(table, _expand)])
-        p = np.empty((len(keys), 8), np.float32)
+        p = np.empty((len(keys), 8))
         sums = []
         for a, b in _subtree_runs(keys):
             p[a:b], node, *values = subtrees(gather(keys[a:b], depth), n[a:b].astype(np.float64), depth)
@@ -301,8 +304,8 @@ def _grow(depth: int):
 
 def _answer_grams(depth: int, top):
     def run(sent: pa.Table, model: pa.Table) -> pa.Table:
-        keys, p = _expand(model["keys"][0].as_py()), np.frombuffer(model["p"][0].as_py(), np.float32).reshape(-1, 8)
-        logs = np.concatenate([gram_logs(gather(keys[a : a + PART], depth), p[a : a + PART], top.value, depth).astype(np.float32) for a in range(0, len(keys), PART)])
+        keys, p = _expand(model["keys"][0].as_py()), np.frombuffer(model["p"][0].as_py(), np.float64).reshape(-1, 8)
+        logs = np.concatenate([gram_logs(gather(keys[a : a + PART], depth), p[a : a + PART], top.value, depth) for a in range(0, len(keys), PART)])
         rows = sent.sort_by("chunk").to_pylist()
         return pa.table({"chunk": pa.array([r["chunk"] for r in rows], pa.int32()), "bucket": pa.array([r["bucket"] for r in rows], pa.int32()), "logs": pa.array([logs[np.searchsorted(keys, _expand(r["keys"]))].tobytes() for r in rows], pa.binary())})
 
@@ -313,33 +316,32 @@ def _score(bits: int, depth: int, total: int, distinct: int, ends: int, id_type:
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
         kinds = replies["kind"].to_numpy()
         counts = np.concatenate([unpack_counts(r["counts"]) for r in by_bucket(replies.filter(pa.array(kinds == 0)))] or [np.zeros(0, np.int64)])
-        logs = np.concatenate([np.frombuffer(r["logs"], np.float32) for r in by_bucket(replies.filter(pa.array(kinds == 1)))] or [np.zeros(0, np.float32)]).astype(np.float64)
+        logs = np.concatenate([np.frombuffer(r["logs"]) for r in by_bucket(replies.filter(pa.array(kinds == 1)))] or [np.zeros(0)])
         data, offsets = as_buffer(table["text"])
-        # the chunk's distinct keys, as they were sent
-        word_keys, gram_keys, of_text = [], [], []
-        for _, _, d, o in pieces(data, offsets):
-            low = LOWER[d]
-            st, en, _ = words(low, o)
-            word_keys.append(np.unique(word_hashes(low, st, en)))
-            keys, inverse = np.unique(spread(grams(d, o, depth)[0], depth), return_inverse=True)
-            gram_keys.append(keys)
-            of_text.append(inverse.astype(np.int32))
-        word_keys, all_grams = np.unique(np.concatenate(word_keys)), np.unique(np.concatenate(gram_keys))
+        # the chunk's distinct words, as they were sent
+        parts = list(pieces(data, offsets))
+        found = [(words(LOWER[d], o), LOWER[d]) for _, _, d, o in parts]
+        hashes = [word_hashes(low, st, en) for (st, en, _), low in found]
+        word_keys = np.unique(np.concatenate(hashes))
         scale = total + 0.1 * (distinct + 1)
         end_log = np.log10((ends + 0.1) / scale)
-        base, score, n_tokens, n_known = [], [], [], []
-        for (a, b, d, o), keys, inverse in zip(pieces(data, offsets), gram_keys, of_text, strict=True):
-            low = LOWER[d]
-            st, en, n = words(low, o)
-            owner = np.repeat(np.arange(b - a), n)
-            c = counts[np.searchsorted(word_keys, word_hashes(low, st, en))]
-            base.append(np.bincount(owner, weights=np.log10((c + 0.1) / scale), minlength=b - a) + end_log)
-            n_known.append(np.bincount(owner, weights=c > 0, minlength=b - a) + (ends > 0))
+        base, n_tokens, n_known = [], [], []
+        for ((_, _, n), _), h in zip(found, hashes, strict=True):
+            owner = np.repeat(np.arange(len(n)), n)
+            c = counts[np.searchsorted(word_keys, h)]
+            base.append(np.bincount(owner, weights=np.log10((c + 0.1) / scale), minlength=len(n)) + end_log)
+            n_known.append(np.bincount(owner, weights=c > 0, minlength=len(n)) + (ends > 0))
             n_tokens.append(n + 1)
-            owner = np.repeat(np.arange(b - a), np.diff(o) + 1)
-            score.append(np.bincount(owner, weights=logs[np.searchsorted(all_grams, keys)][inverse], minlength=b - a))
+        # its grams: sorted once, each place gets the reply of its distinct gram
+        coded = [grams(d, o, depth) for _, _, d, o in parts]
+        keys, owner = np.concatenate([spread(c, depth) for c, _ in coded]), np.concatenate([w + np.int32(a) for (_, w), (a, _, _, _) in zip(coded, parts, strict=True)])
+        by = np.argsort(keys)
+        new = keys[by]
+        new = np.concatenate((np.zeros(1, bool), new[1:] != new[:-1]))
+        weights = np.empty(len(keys))
+        weights[by] = logs[np.cumsum(new)]
+        score = np.bincount(owner, weights=weights, minlength=table.num_rows)
         sizes = np.diff(offsets) + 1
-        score = np.concatenate(score)
         return pa.table(
             {
                 "id": table["id"].cast(id_type), "held_out": table["held"], "n_tokens": pa.array(np.concatenate(n_tokens), pa.int64()), "n_known": pa.array(np.concatenate(n_known).astype(np.int64)),
@@ -361,8 +363,8 @@ def score_documents(df: DataFrame, held_out, depth: int = DEPTH, id_col: str = "
         raise ValueError(f"depth must be from 2 to {MOST}")
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("held", F.coalesce(held_out, F.lit(False)))
     kind = plain.schema["id"].dataType.simpleString()
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "smallint": pa.int16(), "tinyint": pa.int8(), "double": pa.float64(), "float": pa.float32()}[kind]
-    plan = plan_chunks(plain)
+    id_type = to_arrow_type(plain.schema["id"].dataType)
+    plan = plan_chunks(plain, grown=2)
     sent = s.write(plan.table.groupBy("chunk").applyInArrow(_count(plan.bits, depth), "kind int, bucket int, chunk int, keys binary, counts binary, tokens long"))
     word_rows, gram_rows = sent.where("kind = 0"), sent.where("kind = 1")
     word_replies = s.write(word_rows.groupBy("bucket").applyInArrow(_answer_words, "chunk int, bucket int, counts binary, known long"))
