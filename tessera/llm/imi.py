@@ -1,17 +1,21 @@
 """Approximate nearest neighbours by inner product: an inverted multi-index.
 
-Vectors are cut into two halves, and each half is quantised with its own centroids, fitted on a bounded sample. A cell
-is a pair of centroids. A query walks the pairs from the best summed inner product down, with a heap over the two
-sorted lists, until the cells hold ``share`` of all rows (at least ``least``). ``share`` is calibrated on the sample so
-that ``recall`` of its true neighbours are found. All rows of those cells are reranked on the original vectors.
-
-Cells are grouped by their first centroid into shards, shards are cut into chunks of about ``chunk`` rows, and queries
-into blocks, so no task holds more than a chunk and a block whatever is hot. Of rows with the same vector, only the
-k + 1 smallest ids can be among a query's k nearest, so an exact cut before the index keeps those (a vector that a
-third of the rows share leaves each map task as k + 1 rows).
+Vectors are cut into two halves, and each half is quantised with its own centroids, fitted on a bounded sample; their
+number grows with the square root of the rows up to ``MOST``. A cell is a pair of centroids. A query walks the pairs
+from the best summed inner product down, with a heap over blocks of the two sorted lists, until the cells hold ``need``
+rows. What it needs for ``recall`` of the true neighbours is measured on the sample and on a quarter of it, and carried
+on to the whole table at the power of the size that the two show. All rows of the walked cells are reranked on the
+original vectors. How large a share that is depends on the data: unit vectors without structure need about a fifth.
+
+Cells lie in shards of neighbouring first centroids, about ``chunk`` rows each; a larger shard is cut. A query goes, with
+the sum at which its walk stopped, to the shards that it walked. A shard that more than ``block`` queries ask for is
+copied once for each ``block`` of them, and no other, so copies never outweigh the queries. Of rows with the same
+vector, only the k + 1 smallest ids can be among a query's k nearest, so an exact cut before the index keeps those (a
+vector that a third of the rows share leaves each map task as k + 1 rows).
 
 Vectors that are null, empty, zero, of another dimension than most, or hold null or non-finite components take no part.
-Ties go to the smaller id. With fewer than k candidates a query gets all. Of query rows that repeat an id the least vector is asked. Only the named columns are read.
+Ties go to the smaller id. With fewer than k candidates a query gets all. Of query rows that repeat an id the least
+vector is asked; of candidate rows that repeat an id the nearest counts. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -21,22 +25,26 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from tessera.llm._shared import Scratch
 
 SAMPLE = 10_000
+#: Centroids a half, at most; and centroids of each list in one block of the heap's.
+MOST = 512
+BLOCK = 16
 
 
 @dataclass(frozen=True)
 class Index:
     first: np.ndarray
     second: np.ndarray
-    share: float
+    need: int
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -55,40 +63,65 @@ def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (x @ c.T - 0.5 * (c * c).sum(axis=1)).argmax(axis=1)
 
 
-def walk(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, need: int) -> list[int]:
-    """Cells from the best a[i] + b[j] down until they hold ``need`` rows; ``sizes`` by i * len(b) + j."""
-    ia, ib, n = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable"), len(b)
-    sa, sb = -a[ia], -b[ib]
-    heap, out, have = [(sa[0] + sb[0], 0, 0)], [], 0
-    while heap and have < need:
+def walk(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, need: int) -> float:
+    """The sum a[i] + b[j] at which the cells from the best down hold ``need`` rows; ``sizes``: rows by i and j."""
+    ia, ib = np.argsort(-a, kind="stable"), np.argsort(-b, kind="stable")
+    sa, sb = a[ia], b[ib]
+    heap, sums, rows, have, wait = [(-(sa[0] + sb[0]), 0, 0)], [], [], 0, 0
+    while heap:
         _, i, j = heapq.heappop(heap)
-        cell = int(ia[i]) * n + int(ib[j])
-        if sizes[cell]:
-            out.append(cell)
-            have += int(sizes[cell])
-        if j + 1 < n:
-            heapq.heappush(heap, (sa[i] + sb[j + 1], i, j + 1))
-        if j == 0 and i + 1 < len(a):
-            heapq.heappush(heap, (sa[i + 1] + sb[0], i + 1, 0))
-    return out
-
-
-def fit(sample: np.ndarray, centroids: int, k: int, recall: float) -> Index:
-    half = sample.shape[1] // 2
-    first, second = kmeans(sample[:, :half], centroids), kmeans(sample[:, half:], centroids)
-    cells = assign(sample[:, :half], first) * len(second) + assign(sample[:, half:], second)
-    sizes = np.bincount(cells, minlength=len(first) * len(second))
-    probes = np.arange(0, len(sample), max(1, len(sample) // 200))
+        x, y = slice(i, i + BLOCK), slice(j, j + BLOCK)
+        n = sizes[ia[x][:, None], ib[y]].ravel()
+        sums.append((sa[x][:, None] + sb[y]).ravel()[n > 0])
+        rows.append(n[n > 0])
+        have += int(n.sum())
+        if j + BLOCK < len(b):
+            heapq.heappush(heap, (-(sa[i] + sb[j + BLOCK]), i, j + BLOCK))
+        if j == 0 and i + BLOCK < len(a):
+            heapq.heappush(heap, (-(sa[i + BLOCK] + sb[0]), i + BLOCK, 0))
+        wait -= 1
+        if have >= need and (wait <= 0 or not heap):  # cells above every block that is left count as walked
+            s, r = np.concatenate(sums), np.concatenate(rows)
+            by = np.argsort(-s, kind="stable")
+            at = int(np.searchsorted(np.cumsum(r[by]), need))
+            if not heap or s[by[at]] >= -heap[0][0]:
+                return float(s[by[at]])
+            sums, rows, wait = [s], [r], 8
+    return -np.inf
+
+
+def centroids_for(n: int, sample: int) -> int:
+    return max(1, min(MOST, int(4 * n**0.5), -(-sample // 4)))
+
+
+def _needed(x: np.ndarray, k: int, recall: float) -> float:
+    """How many rows the walks over ``x`` have to hold so that ``recall`` of the true neighbours are among them."""
+    half = x.shape[1] // 2
+    c = centroids_for(len(x), len(x))
+    first, second = kmeans(x[:, :half], c), kmeans(x[:, half:], c)
+    i, j = assign(x[:, :half], first), assign(x[:, half:], second)
     needed = []
-    for p in probes:
-        scores = sample @ sample[p]
+    for p in range(0, len(x), max(1, len(x) // 200)):
+        scores = x @ x[p]
         scores[p] = -np.inf
-        near = np.argpartition(-scores, min(k, len(scores) - 1))[:k]
-        order = walk(first @ sample[p, :half], second @ sample[p, half:], sizes, len(sample))
-        reach = np.zeros(len(sizes), np.int64)
-        reach[order] = np.cumsum(sizes[order])
-        needed.append(reach[cells[near]])
-    return Index(first, second, float(min(1.0, np.quantile(np.concatenate(needed), recall) / len(sample))))
+        near = np.argpartition(-scores, min(k, len(scores)) - 1)[:k]
+        sums = (first @ x[p, :half])[i] + (second @ x[p, half:])[j]
+        needed.append(len(x) - np.searchsorted(np.sort(sums), sums[near]))
+    return float(np.quantile(np.concatenate(needed), recall))
+
+
+def fit(sample: np.ndarray, n: int, k: int, recall: float) -> Index:
+    """For a table of ``n`` rows."""
+    half = sample.shape[1] // 2
+    c = centroids_for(n, len(sample))
+    need, power = _needed(sample, k, recall), 1.0
+    if n > 1.5 * len(sample):
+        less = _needed(sample[::4], k, recall)
+        power = float(np.clip(np.log(need / less) / np.log(4), 0.5, 1.0))
+    first, second = kmeans(sample[:, :half], c), kmeans(sample[:, half:], c)
+    axis = first - first.mean(axis=0)
+    first = first[np.argsort(axis @ np.linalg.svd(axis, full_matrices=False)[2][0], kind="stable")]  # neighbours side by side
+    return Index(first, second, int(np.ceil(need * max(1.0, n / len(sample)) ** power)))
 
 
 def _valid(v: Column) -> Column:
@@ -97,8 +130,7 @@ def _valid(v: Column) -> Column:
 
 
 def search(
-    df: DataFrame, queries: Column | None = None, k: int = 20, recall: float = 0.97, sample: int = SAMPLE, least: int = 2000, chunk: int = 8192, block: int = 1024,
-    id_col: str = "vec_id", vector_col: str = "embedding",
+    df: DataFrame, queries: Column | None = None, k: int = 20, recall: float = 0.96, sample: int = SAMPLE, chunk: int = 8192, block: int = 8192, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, id, score) of the k nearest rows of each row that ``queries`` (a condition on ``id``) selects."""
     spark, s = df.sparkSession, Scratch(df.sparkSession, "imi")
@@ -116,9 +148,10 @@ def search(
     kept = rows.withColumn("__rank", F.row_number().over(by_vector)).where(f"__rank <= {k + 1}").drop("__rank")
     drawn = rows.where(F.xxhash64(F.lit(5), "id").bitwiseAND(2**31 - 1) < int(min(1.0, sample / n) * 2**31)).select("v").limit(2 * sample)
     train = np.array(sorted(r["v"] for r in drawn.collect()) or [r["v"] for r in rows.select("v").limit(sample).collect()])
+    train = train[np.random.default_rng(0).permutation(len(train))]
     if half == 0:
         train = np.repeat(train, 2, axis=1)
-    index = spark.sparkContext.broadcast(fit(train, max(2, min(256, int(2 * n**0.25))), k, recall))
+    index = spark.sparkContext.broadcast(fit(train, n, k, recall))
     width = len(index.value.second)
 
     def halves(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -130,65 +163,85 @@ def search(
             if b.num_rows:
                 x, p, q = halves(b.column(1))
                 i, j = assign(p, index.value.first), assign(q, index.value.second)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(i, pa.int32()), pa.array(i * width + j, pa.int32())], ["id", "x", "shard", "cell"])
-
-    placed = s.write(kept.mapInArrow(place, f"id {id_kind}, x binary, shard int, cell int"))
-    sizes = np.zeros(len(index.value.first) * width, np.int64)
-    for r in placed.groupBy("cell").count().collect():  # at most one row for each pair of centroids
-        sizes[r["cell"]] = r["count"]
-    chunks = np.maximum(1, -(-sizes.reshape(-1, width).sum(axis=1) // chunk))
-    need = max(least, int(np.ceil(index.value.share * sizes.sum())))
-    shared = spark.sparkContext.broadcast((sizes, chunks))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(i, pa.int32()), pa.array(j, pa.int32())], ["id", "x", "i", "j"])
+
+    placed = s.write(kept.mapInArrow(place, f"id {id_kind}, x binary, i int, j int"))
+    sizes = np.zeros((len(index.value.first), width), np.int64)
+    for r in placed.groupBy("i", "j").count().collect():  # at most MOST * MOST rows
+        sizes[r["i"], r["j"]] = r["count"]
+    by_first = sizes.sum(axis=1)
+    shard_of = ((np.cumsum(by_first) - by_first) // chunk).astype(np.int32)
+    shard_of = np.unique(shard_of, return_inverse=True)[1].astype(np.int32)
+    chunks = -(-np.bincount(shard_of, weights=by_first).astype(np.int64) // chunk)
+    shared = spark.sparkContext.broadcast((sizes, shard_of))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes, chunks = shared.value
-        for b in batches:
-            out: dict[str, list] = {c: [] for c in ("id", "x", "cells", "shard", "chunk", "block")}
-            if not b.num_rows:
+        sizes, shard_of = shared.value
+        there = sizes.sum(axis=1) > 0
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            x, p, q = halves(b.column(1))
+            x, p, q = halves(batch.column(1))
             a, c = p @ index.value.first.T, q @ index.value.second.T
-            for r, (i, blk) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                cells = np.array(walk(a[r], c[r], sizes, need), np.int32)
-                for shard in np.unique(cells // width):
-                    own = cells[cells // width == shard]
-                    for ch in range(chunks[shard]):
-                        for name, value in zip(out, (i, x[r].tobytes(), own.tobytes(), int(shard), ch, blk), strict=True):
-                            out[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out["id"], b.column(0).type), pa.array(out["x"], pa.binary()), pa.array(out["cells"], pa.binary()), *(pa.array(out[c], pa.int32()) for c in ("shard", "chunk", "block"))], [*out])
+            low = np.array([walk(a[r], c[r], sizes, index.value.need) for r in range(len(x))])
+            whose, shard = [], []
+            for r in range(len(x)):
+                own = np.unique(shard_of[there & (a[r] + c[r].max() >= low[r] - 1e-9)])
+                whose.append(np.full(len(own), r))
+                shard.append(own)
+            whose = np.concatenate(whose)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose)), pa.array([x[r].tobytes() for r in whose], pa.binary()), pa.array(low[whose]), pa.array(np.concatenate(shard), pa.int32())], ["id", "x", "low", "shard"])
 
     asked = rows.where(queries).groupBy("id").agg(F.min("v").alias("v"))
-    blocks = -(-max(1, asked.count()) // block)
-    routed = asked.withColumn("block", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(blocks)).cast("int")).mapInArrow(route, f"id {id_kind}, x binary, cells binary, shard int, chunk int, block int")
-    table = F.array(*(F.lit(int(c)) for c in chunks))
-    copies = placed.withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "id"), table[F.col("shard")]).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": [], id_col: [], "score": []})
-        if left.empty or right.empty:
-            return empty
-        right = right.sort_values("id", kind="stable")
-        q = np.frombuffer(b"".join(left["x"]), np.float64).reshape(len(left), dim)
-        x = np.frombuffer(b"".join(right["x"]), np.float64).reshape(len(right), dim)
-        ids, cell = right["id"].to_numpy(), right["cell"].to_numpy() % width
-        scores = q @ x.T
-        slack = 1e-12 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
-        found = []
-        for r, (i, cells) in enumerate(zip(left["id"], left["cells"], strict=True)):
-            seen = np.zeros(width, bool)
-            seen[np.frombuffer(cells, np.int32) % width] = True
-            own = np.flatnonzero(seen[cell] & (ids != i))
+    routed = s.write(asked.mapInArrow(route, f"id {id_kind}, x binary, low double, shard int"))
+    load = np.ones(len(chunks), np.int64)
+    for r in routed.groupBy("shard").count().collect():  # a row a shard
+        load[r["shard"]] = -(-r["count"] // block)
+    plan = s.write(spark.createDataFrame([(i, int(c), int(b)) for i, (c, b) in enumerate(zip(chunks, load, strict=True))], "shard int, chunks int, blocks int"))
+    firsts = s.write(spark.createDataFrame([(i, int(x)) for i, x in enumerate(shard_of)], "i int, shard int"))
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    some = lambda c, salt: F.pmod(F.xxhash64(F.lit(salt), "id"), F.col(c)).cast("int")
+    left = routed.join(plan, "shard").withColumn("block", some("blocks", 9)).withColumn("chunk", each("chunks")).select("id", "x", "low", "shard", "chunk", "block")
+    right = placed.join(firsts, "i").join(plan, "shard").withColumn("chunk", some("chunks", 3)).withColumn("block", each("blocks")).select("id", "x", "i", "j", "shard", "chunk", "block")
+
+    def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = pa.schema([("query_id", id_type), (id_col, id_type), ("score", pa.float64())])
+        if not left.num_rows or not right.num_rows:
+            return kinds.empty_table()
+        right = right.sort_by("id")
+        q, x = (np.frombuffer(b"".join(t["x"].to_pylist()), np.float64).reshape(t.num_rows, dim) for t in (left, right))
+        ids, at, i, j = right["id"].combine_chunks(), np.arange(right.num_rows), right["i"].to_numpy(), right["j"].to_numpy()
+        first_of_id = np.array([n == 0 or ids[n] != ids[n - 1] for n in range(len(ids))])
+        number = np.cumsum(first_of_id) - 1  # equal ids share one
+        whole = first_of_id.all()
+        asks, low = left["id"].combine_chunks(), left["low"].to_numpy()
+        p = q if half == 0 else q[:, :half]
+        a, c = p @ index.value.first.T, (q if half == 0 else q[:, half:]) @ index.value.second.T
+        place = pc.index_in(asks, ids.filter(pa.array(first_of_id))).fill_null(-1).to_numpy()
+        whose, found, scores = [], [], []
+        for r in range(len(q)):
+            own = at[(a[r, i] + c[r, j] >= low[r] - 1e-9) & (number != place[r])]
             if not own.size:
                 continue
-            at = scores[r, own]
-            if own.size > k:
-                own = own[at >= np.partition(at, own.size - k)[own.size - k] - 2 * slack[r]]
+            near = x[own] @ q[r]
+            if own.size > k and whole:
+                slack = 1e-12 * np.linalg.norm(q[r]) * np.linalg.norm(x[own], axis=1).max()
+                own = own[near >= np.partition(near, own.size - k)[own.size - k] - 2 * slack]
             exact = (q[r] * x[own]).sum(axis=1)
-            best = np.lexsort((ids[own], -exact))[:k]
-            found.append(pd.DataFrame({"query_id": i, id_col: ids[own[best]], "score": exact[best]}))
-        return pd.concat(found) if found else empty
-
+            best = np.lexsort((own, -exact))
+            if not whole:
+                best = best[np.sort(np.unique(number[own[best]], return_index=True)[1])]
+            best = best[:k]
+            whose.append(np.full(len(best), r))
+            found.append(own[best])
+            scores.append(exact[best])
+        if not found:
+            return kinds.empty_table()
+        return pa.table([asks.take(pa.array(np.concatenate(whose))), ids.take(pa.array(np.concatenate(found))), pa.array(np.concatenate(scores))], schema=kinds)
+
+    id_type = to_arrow_type(df.schema[id_col].dataType)
     keys = ["shard", "chunk", "block"]
-    found = routed.groupBy(*keys).cogroup(copies.groupBy(*keys)).applyInPandas(rerank, f"query_id {id_kind}, {id_col} {id_kind}, score double")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(rerank, f"query_id {id_kind}, {id_col} {id_kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    found = found.groupBy("query_id", id_col).agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(best)).where(f"rank <= {k}").select("query_id", F.col("rank").cast("int"), id_col, "score")

@@ -25,7 +25,7 @@ def test_recall_and_exact_scores(spark):
     rows = make()
     df = spark.createDataFrame([(i, v, 0, "c") for i, v in rows], "vec_id long, embedding array<float>, label int, cell string")
     want, got = brute(rows, 20), {}
-    for r in imi.search(df, chunk=100, block=16, least=50).collect():
+    for r in imi.search(df, chunk=100, block=16).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
     assert set(got) == set(want)
     hits = total = 0
@@ -44,7 +44,7 @@ def test_recall_and_exact_scores(spark):
 def test_full_share_is_exact_with_ties(spark):
     rows = make(300, 1)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = {(r.query_id, r["rank"]): r.vec_id for r in imi.search(df, recall=1.0, least=10**6, chunk=50).collect()}
+    got = {(r.query_id, r["rank"]): r.vec_id for r in imi.search(df, recall=1.0, chunk=50, block=4).collect()}
     want = {(i, n + 1): j for i, near in brute(rows, 20).items() for n, (j, _) in enumerate(near)}
     assert got == want
 
@@ -54,3 +54,55 @@ def test_few_and_none(spark):
     assert imi.search(spark.createDataFrame([], kind)).count() == 0
     got = imi.search(spark.createDataFrame([(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 1.0])], kind)).collect()
     assert [(r.query_id, r["rank"], r.vec_id, r.score) for r in got] == [(0, 1, 1, 2.0), (0, 2, 2, 1.0)]
+
+
+def test_walk_stops_where_the_best_cells_hold_enough():
+    r = np.random.default_rng(5)
+    for _ in range(60):
+        a, b = r.normal(size=r.integers(1, 70)), r.normal(size=r.integers(1, 70))
+        sizes = r.integers(0, 3, (len(a), len(b)))
+        need = int(r.integers(1, max(2, sizes.sum())))
+        sums = (a[:, None] + b)[sizes > 0]
+        by = np.argsort(-sums)
+        total = np.cumsum(sizes[sizes > 0][by])
+        want = sums[by[np.searchsorted(total, need)]] if len(total) and total[-1] >= need else -np.inf
+        assert imi.walk(a, b, sizes, need) == want
+
+
+def test_repeated_ids(spark):
+    r = np.random.default_rng(6)
+    rows = [(i % 40, [float(c) for c in v]) for i, v in enumerate(r.normal(size=(120, 6)))]
+    got = {}
+    for x in imi.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=10, recall=1.0, chunk=7).collect():
+        got.setdefault(x.query_id, []).append((x["rank"], x.vec_id, x.score))
+    single = [(i, np.array(v, np.float32).astype(float)) for i, v in rows]
+    for q in (0, 20):
+        ask = min((tuple(v) for i, v in single if i == q))
+        best = {}
+        for i, v in single:
+            if i != q:
+                best[i] = max(best.get(i, -9e9), float((np.array(ask) * v).sum()))
+        assert [i for _, i, _ in sorted(got[q])] == sorted(best, key=lambda i: (-best[i], i))[:10]
+
+
+def test_recall_and_visited_share_at_two_sizes():
+    """Rows in clusters: the walks of a table five times as large hold a smaller share, at the same recall."""
+    r = np.random.default_rng(7)
+    shares = []
+    for n in (5_000, 25_000):
+        x = r.normal(size=(200, 32))[r.integers(0, 200, n)] + 0.6 * r.normal(size=(n, 32))
+        index = imi.fit(x[r.permutation(n)[:5_000]], n, 20, 0.95)
+        i, j = imi.assign(x[:, :16], index.first), imi.assign(x[:, 16:], index.second)
+        sizes = np.zeros((len(index.first), len(index.second)), np.int64)
+        np.add.at(sizes, (i, j), 1)
+        hits = seen = 0
+        for p in range(0, n, n // 100):
+            a, b = index.first @ x[p, :16], index.second @ x[p, 16:]
+            own = a[i] + b[j] >= imi.walk(a, b, sizes, index.need)
+            scores = x @ x[p]
+            scores[p] = -np.inf
+            hits += own[np.argsort(-scores)[:20]].sum()
+            seen += own.mean()
+        shares.append(seen / 100)
+        assert hits / 2000 >= 0.9
+    assert shares[1] < shares[0]
