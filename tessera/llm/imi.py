@@ -32,12 +32,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from tessera.llm._shared import Scratch
+from tessera.llm._shared import Scratch, partitions
 
 SAMPLE = 10_000
 #: Centroids a half, at most; and centroids of each list in one block of the heap's.
 MOST = 512
-BLOCK = 16
+BLOCK = 32
 
 
 @dataclass(frozen=True)
@@ -193,7 +193,7 @@ def search(
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose)), pa.array([x[r].tobytes() for r in whose], pa.binary()), pa.array(low[whose]), pa.array(np.concatenate(shard), pa.int32())], ["id", "x", "low", "shard"])
 
     asked = rows.where(queries).groupBy("id").agg(F.min("v").alias("v"))
-    routed = s.write(asked.mapInArrow(route, f"id {id_kind}, x binary, low double, shard int"))
+    routed = s.write(asked.repartition(partitions(spark), "id").mapInArrow(route, f"id {id_kind}, x binary, low double, shard int"))
     load = np.ones(len(chunks), np.int64)
     for r in routed.groupBy("shard").count().collect():  # a row a shard
         load[r["shard"]] = -(-r["count"] // block)
