@@ -164,13 +164,19 @@ def _nodes(rows: DataFrame, summary: Summary) -> dict[str, np.ndarray]:
     def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, list] = {}
         for b in batches:
-            for key, word in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                w = np.frombuffer(word, np.float64 if is_float else np.uint8)
+            if not b.num_rows:
+                continue
+            coded = b.column(0).dictionary_encode()
+            of, w = coded.indices.to_numpy(), np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64 if is_float else np.uint8).reshape(b.num_rows, -1)
+            by = np.argsort(of, kind="stable")
+            start = np.flatnonzero(np.concatenate(([True], of[by][1:] != of[by][:-1])))
+            low, high, size = np.minimum.reduceat(w[by], start), np.maximum.reduceat(w[by], start), np.diff(start, append=len(by))
+            for i, key in enumerate(coded.dictionary.take(pa.array(of[by][start])).to_pylist()):
                 if (box := found.get(key)) is None:
-                    found[key] = [1, w, w]
+                    found[key] = [int(size[i]), low[i], high[i]]
                 else:
-                    box[0] += 1
-                    box[1], box[2] = np.minimum(box[1], w), np.maximum(box[2], w)
+                    box[0] += int(size[i])
+                    box[1], box[2] = np.minimum(box[1], low[i]), np.maximum(box[2], high[i])
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), *(pa.array([x[i].astype(np.float64).tolist() for x in found.values()], pa.list_(pa.float64())) for i in (1, 2))], ["node", "size", "low", "high"])
 
@@ -264,9 +270,9 @@ def search(index: Index, queries, config: SearchConfig) -> DataFrame:
     slack = 1e-9 * (1 + limits)  # bounds and distances are rounded differently
     wanted = {bytes(k): np.flatnonzero(node_bounds[:, j] <= limits + slack) for j, k in enumerate(nodes["key"])}
     wanted = {k: v for k, v in wanted.items() if v.size}
-    rows = index.word_rows()
+    rows, whole = index.word_rows(), index.rows
     if len(wanted) < len(nodes["key"]) <= 2000:
-        rows = rows.where(F.col("node").isin(list(wanted)))
+        rows, whole = (x.where(F.col("node").isin(list(wanted))) for x in (rows, whole))
     sent = rows.sparkSession.sparkContext.broadcast((qids, q, limits + slack, wanted))
     is_float = s.strategy == "eapca"
 
@@ -291,7 +297,7 @@ def search(index: Index, queries, config: SearchConfig) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_i), pa.int64())], ["qid", "id"])
 
     candidates = rows.mapInArrow(prune, "qid long, id long")
-    pairs = candidates.join(index.rows.select("id", "series"), "id").select("qid", "id", "series")
+    pairs = candidates.join(whole.select("id", "series"), "id").select("qid", "id", "series")
     return finish(_refine(pairs, qids, q, config), config)
 
 

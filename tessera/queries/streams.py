@@ -11,8 +11,8 @@ from tessera.config import Layout, SearchConfig
 from tessera.functions import columns
 from tessera.operators import search
 from tessera.plans import index
-from tessera.queries.searches import TOP, TOP_SQL
-from tessera.queries.tables import asked, every, in_blocks, queries, rounded, series, table
+from tessera.queries.searches import K, RANGE_SQL, RECENT_SQL, TOP, TOP_SQL, WINDOW, WITHIN
+from tessera.queries.tables import asked, in_blocks, queries, rounded, series, table
 from tessera.sources import files, memory
 from tessera.streaming.runs import RunStore, stream_into
 
@@ -25,34 +25,51 @@ def _folder(spark: SparkSession) -> str:
         import uuid
 
         return f"{root.rstrip('/')}/runs-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return tempfile.mkdtemp(prefix="tessera-runs-")
 
 
-def insert_then_top_k(spark: SparkSession, d: str, n: int | None = 5) -> DataFrame:
+def insert_then_top_k(spark: SparkSession, d: str) -> DataFrame:
     """An index over two thirds of the rows gets the rest appended; the answer is that of the whole table."""
     s = series(spark, d)
     old = s.where(F.col("id") % 3 != 2)
     i = index.append(index.build(old, "isax", Layout(segments=16, bits=4, leaf_size=50)), s.where(F.col("id") % 3 == 2))
-    return rounded(in_blocks(queries(spark, d, n), lambda q: index.search(i, q, TOP)))
+    return rounded(in_blocks(queries(spark, d), lambda q: index.search(i, q, TOP)))
 
 
-def streamed_top_k(spark: SparkSession, d: str, n: int | None = 5) -> DataFrame:
-    """The first 100 vectors make a store; the others arrive by a stream, run by run, and runs are merged."""
+def streamed(spark: SparkSession, d: str, config: SearchConfig = TOP) -> DataFrame:
+    """The first 100 vectors make a store; the others arrive by a stream that is stopped and started again, runs are merged,
+    and the store is searched after it was opened anew."""
     folder = _folder(spark)
     s = series(spark, d)
     store = RunStore(spark, f"{folder}/store")
     store.create(s.where("id < 100"), Layout(segments=16, bits=4))
     arriving = s.where("id >= 100").select(F.col("id").alias("seq"), "series")
-    arriving.repartitionByRange(3, "seq").write.parquet(f"{folder}/arriving")
-    stream = spark.readStream.schema(arriving.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/arriving")
-    query = stream_into(store, stream, f"{folder}/checkpoint")
-    query.processAllAvailable()
-    query.stop()
-    found = in_blocks(queries(spark, d, n), lambda q: store.search(q, TOP))
-    return rounded(found.select("qid", "rank", "dist"))
+    stream = spark.readStream.schema(arriving.schema).parquet(f"{folder}/arriving")
+    last = s.agg(F.max("id")).first()[0]
+    size = max(1, -(-(last - 99) // 3))
+    for i in range(3):  # a third of the ids makes a micro-batch
+        arriving.where((F.col("seq") >= 100 + i * size) & (F.col("seq") < 100 + (i + 1) * size)).write.mode("append").parquet(f"{folder}/arriving")
+        query = stream_into(store, stream, f"{folder}/checkpoint")
+        query.processAllAvailable()
+        query.stop()
+    reopened = RunStore(spark, f"{folder}/store")
+    return rounded(in_blocks(queries(spark, d), lambda q: reopened.search(q, config)))
 
 
-STREAMED_SQL = f"SELECT qid, rank, dist FROM ({TOP_SQL})"
+def streamed_range(spark: SparkSession, d: str) -> DataFrame:
+    return streamed(spark, d, WITHIN)
+
+
+def streamed_recent(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of the last rows that arrived."""
+    folder, s = _folder(spark), series(spark, d)
+    store = RunStore(spark, f"{folder}/store")
+    store.create(s.where("id < 100"), Layout(segments=16, bits=4))
+    store.append_batch(s.where("id >= 100").select(F.col("id").alias("seq"), "series"), 0)
+    reopened = RunStore(spark, f"{folder}/store")
+    return rounded(in_blocks(queries(spark, d), lambda q: reopened.search_recent(q, K, WINDOW)))
 
 
 def user_series(spark: SparkSession, d: str) -> DataFrame:
@@ -65,9 +82,9 @@ def user_series(spark: SparkSession, d: str) -> DataFrame:
     return s
 
 
-def user_series_top_k(spark: SparkSession, d: str, n: int | None = 3) -> DataFrame:
+def user_series_top_k(spark: SparkSession, d: str) -> DataFrame:
     s = user_series(spark, d)
-    q = s.where(asked(n)).select(F.col("id").alias("qid"), F.col("series").alias("q"))
+    q = s.where(asked()).select(F.col("id").alias("qid"), F.col("series").alias("q"))
     return rounded(in_blocks(q, lambda b: search.search_native(s, b, SearchConfig(k=5))))
 
 
@@ -75,7 +92,7 @@ USER_SQL = f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), g AS (SELE
 s AS (SELECT user_id AS id, date_diff('day', DATE '{FIRST_DAY}', CAST(ts AS DATE)) AS i, sum(value) AS v FROM events GROUP BY ALL),
 e AS (SELECT g.id, g.i, coalesce(s.v, 0) AS v FROM g LEFT JOIN s ON g.id = s.id AND g.i = s.i), m AS (SELECT id, avg(v) AS m, stddev_pop(v) AS d FROM e GROUP BY id),
 z AS (SELECT e.id, i, CASE WHEN d > 0 THEN (v - m) / d ELSE 0 END AS v FROM e JOIN m ON e.id = m.id),
-d AS (SELECT a.id AS qid, b.id, sum((a.v - b.v) * (a.v - b.v)) AS dist FROM z a JOIN z b ON a.i = b.i WHERE a.id < 3 GROUP BY ALL),
+d AS (SELECT a.id AS qid, b.id, sum((a.v - b.v) * (a.v - b.v)) AS dist FROM z a JOIN z b ON a.i = b.i WHERE a.id % 50 = 0 GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, id) AS rank FROM d) SELECT qid, rank, id, round(dist, 6) AS dist FROM r WHERE rank <= 5"""
 
 
@@ -112,12 +129,6 @@ def sampled(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "insert_then_topk": (insert_then_top_k, TOP_SQL), "streamed_topk": (streamed_top_k, STREAMED_SQL), "user_series_topk": (user_series_top_k, USER_SQL), "sinusoid_source": (sinusoids, SINUSOID_SQL),
+    "insert_then_topk": (insert_then_top_k, TOP_SQL), "streamed_topk": (streamed, TOP_SQL), "streamed_range": (streamed_range, RANGE_SQL), "streamed_recent": (streamed_recent, RECENT_SQL), "user_series_topk": (user_series_top_k, USER_SQL), "sinusoid_source": (sinusoids, SINUSOID_SQL),
     "random_source": (random_is_normal, NORMAL_SQL), "file_metadata": (file_metadata, METADATA_SQL), "sample_rows": (sampled, "SELECT CAST(40 AS BIGINT) AS n, CAST(40 AS BIGINT) AS ids"),
 }
-
-#: The same for the query set of every id divisible by 50.
-EVERY = {
-    "insert_then_topk_every50": (lambda s, d: insert_then_top_k(s, d, None), every(TOP_SQL)), "streamed_topk_every50": (lambda s, d: streamed_top_k(s, d, None), every(STREAMED_SQL)),
-    "user_series_topk_every50": (lambda s, d: user_series_top_k(s, d, None), every(USER_SQL, 3, "a.id")),
-}

@@ -19,17 +19,9 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("series"))
 
 
-def asked(n: int | None) -> Column:
-    """Whether a row is a query: the first n ids, or without n every id divisible by 50."""
-    return F.col("id") % 50 == 0 if n is None else F.col("id") < n
-
-
-def every(sql: str, n: int = 5, column: str = "id") -> str:
-    """The SQL of the first n ids, for every id divisible by 50."""
-    short = f"{column} < {n}"
-    if sql.count(short) != 1:
-        raise ValueError(f"not one {short}")
-    return sql.replace(short, f"{column} % 50 = 0")
+def asked() -> Column:
+    """Whether a row is a query: every id divisible by 50."""
+    return F.col("id") % 50 == 0
 
 
 def in_blocks(q: DataFrame, run: Callable[[DataFrame], DataFrame], most: int = MOST_QUERY_BYTES // 2) -> DataFrame:
@@ -42,9 +34,9 @@ def in_blocks(q: DataFrame, run: Callable[[DataFrame], DataFrame], most: int = M
     return reduce(DataFrame.unionByName, (run(q.where(block == i)) for i in held))
 
 
-def queries(spark: SparkSession, sf_dir: str, n: int | None = 5) -> DataFrame:
-    """The first n vectors, or without n those of every id divisible by 50, as the batch of queries."""
-    return series(spark, sf_dir).where(asked(n)).select(F.col("id").alias("qid"), F.col("series").alias("q"))
+def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors of every id divisible by 50, as queries."""
+    return series(spark, sf_dir).where(asked()).select(F.col("id").alias("qid"), F.col("series").alias("q"))
 
 
 def rounded(df: DataFrame) -> DataFrame:

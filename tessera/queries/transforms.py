@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from tessera.config import Layout
 from tessera.functions import columns
 from tessera.plans import index
-from tessera.queries.tables import asked, every, in_blocks, rounded, series, table
+from tessera.queries.tables import asked, in_blocks, rounded, series, table
 
-DIM, SEGMENTS, BITS, BAND, QUERIES = 64, 16, 4, 6, 5
+DIM, SEGMENTS, BITS, BAND = 64, 16, 4, 6
 LENGTH = DIM // SEGMENTS
 CUTS = [NormalDist().inv_cdf(j / 16) for j in range(1, 16)]
 #: Fixed cuts for the embeddings' scale, so that symbols spread.
@@ -71,10 +71,9 @@ Z_KEY_SQL = f"""{_S}, n AS (SELECT id, plane, i // 4 AS q, sum(((v >> ({BITS - 1
 SELECT id, string_agg(substr('0123456789abcdef', CAST(nibble AS INTEGER) + 1, 1), '' ORDER BY plane, q) AS key FROM n GROUP BY id"""
 
 
-def regions(spark, d, n=50):
+def regions(spark, d):
     """Region and midpoint of each symbol of the first segments, at two bits."""
-    words = _sax(spark, d)
-    w = (words if n is None else words.where(F.col("id") < n)).select("id", F.posexplode("w").alias("i", "s"))
+    w = _sax(spark, d).select("id", F.posexplode("w").alias("i", "s"))
     lo, hi = columns.region(columns.symbol_at_bits(F.col("s"), 2, BITS), 2, CUTS)
     return rounded(w.select("id", "i", F.coalesce(lo, F.lit(-9.0)).alias("low"), F.coalesce(hi, F.lit(9.0)).alias("high"), columns.midpoint(F.col("s"), CUTS).alias("middle")))
 
@@ -82,7 +81,7 @@ def regions(spark, d, n=50):
 _LOWS, _HIGHS = [2 * CUTS[0] - CUTS[1], *CUTS], [*CUTS, 2 * CUTS[-1] - CUTS[-2]]
 REGION_SQL = f"""{_S} SELECT id, i, round(CASE WHEN v // 4 = 0 THEN -9 ELSE [{", ".join(repr(CUTS[j]) for j in (3, 7, 11))}][v // 4] END, 6) AS low,
 round(CASE WHEN v // 4 = 3 THEN 9 ELSE [{", ".join(repr(CUTS[j]) for j in (3, 7, 11))}][v // 4 + 1] END, 6) AS high, round([{", ".join(repr((a + b) / 2) for a, b in zip(_LOWS, _HIGHS, strict=True))}][v + 1], 6) AS middle
-FROM x WHERE id < 50"""
+FROM x"""
 
 
 def equidepth_breakpoints(spark, d):
@@ -105,14 +104,13 @@ EQUI_SAX_SQL = f"""WITH {_Z}, {_P}, q AS (SELECT unnest(quantile_cont(v, [{", ".
 x AS (SELECT i, (SELECT count(*) FROM q WHERE cut < v) AS symbol FROM p) SELECT i, symbol, count(*) AS n FROM x GROUP BY i, symbol"""
 
 
-def envelopes(spark, d, n=QUERIES):
+def envelopes(spark, d):
     up, lo = columns.envelope(F.col("series"), BAND)
-    s = series(spark, d)
-    e = (s if n is None else s.where(F.col("id") < n)).select("id", up.alias("u"), lo.alias("l"))
+    e = series(spark, d).select("id", up.alias("u"), lo.alias("l"))
     return rounded(e.select("id", F.posexplode(F.arrays_zip("u", "l")).alias("i", "x")).select("id", "i", F.col("x.u").alias("upper"), F.col("x.l").alias("lower")))
 
 
-ENVELOPE_SQL = f"""WITH {_E} SELECT id, i, round(max(v) OVER w, 6) AS upper, round(min(v) OVER w, 6) AS lower FROM e WHERE id < {QUERIES}
+ENVELOPE_SQL = f"""WITH {_E} SELECT id, i, round(max(v) OVER w, 6) AS upper, round(min(v) OVER w, 6) AS lower FROM e
 WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN {BAND} PRECEDING AND {BAND} FOLLOWING)"""
 
 
@@ -179,39 +177,39 @@ NODE_SQL = f"""WITH {_E}, {_K} SELECT CAST(label AS BIGINT) AS node, i, round(ma
 FROM k JOIN embeddings ON vec_id = id GROUP BY label, i"""
 
 
-def keogh_pairs(spark, d, n=QUERIES):
+def keogh_pairs(spark, d):
     up, lo = columns.envelope(F.col("series"), BAND)
-    q = series(spark, d).where(asked(n)).select(F.col("id").alias("qid"), F.col("series").alias("q"), up.alias("u"), lo.alias("l"))
+    q = series(spark, d).where(asked()).select(F.col("id").alias("qid"), F.col("series").alias("q"), up.alias("u"), lo.alias("l"))
     return rounded(in_blocks(q, lambda b: series(spark, d).crossJoin(F.broadcast(b)).select("qid", "id", columns.lb_keogh(F.col("u"), F.col("l"), F.col("series")).alias("bound"))))
 
 
-KEOGH_SQL = f"""WITH {_E}, v AS (SELECT id, i, max(v) OVER w AS u, min(v) OVER w AS l FROM e WHERE id < {QUERIES} WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN {BAND} PRECEDING AND {BAND} FOLLOWING))
+KEOGH_SQL = f"""WITH {_E}, v AS (SELECT id, i, max(v) OVER w AS u, min(v) OVER w AS l FROM e WHERE id % 50 = 0 WINDOW w AS (PARTITION BY id ORDER BY i ROWS BETWEEN {BAND} PRECEDING AND {BAND} FOLLOWING))
 SELECT v.id AS qid, e.id, round(sum(greatest(0, e.v - u) * greatest(0, e.v - u) + greatest(0, l - e.v) * greatest(0, l - e.v)), 6) AS bound FROM e JOIN v ON e.i = v.i GROUP BY ALL"""
 
 
-def _bounds(spark, d, n=QUERIES):
+def _bounds(spark, d):
     p = series(spark, d).select("id", "series", columns.paa(F.col("series"), DIM, SEGMENTS).alias("p"))
     p = p.withColumn("w", columns.symbolize(F.col("p"), columns.array_of(FINE)))
-    q = p.where(asked(n)).select(F.col("id").alias("qid"), F.col("p").alias("qp"), F.col("series").alias("q"))
+    q = p.where(asked()).select(F.col("id").alias("qid"), F.col("p").alias("qp"), F.col("series").alias("q"))
     return in_blocks(q, lambda b: p.crossJoin(F.broadcast(b)).select("qid", "id", columns.sax_bound(F.col("qp"), F.col("w"), FINE, LENGTH).alias("bound"), columns.l2(F.col("q"), F.col("series")).alias("dist")))
 
 
-def sax_bounds(spark, d, n=QUERIES):
-    return rounded(_bounds(spark, d, n).drop("dist"))
+def sax_bounds(spark, d):
+    return rounded(_bounds(spark, d).drop("dist"))
 
 
 SAX_BOUND_SQL = f"""WITH {_E}, p AS (SELECT id, i // {LENGTH} AS i, avg(v) AS v FROM e GROUP BY ALL), {_FINE}, k AS (SELECT [{", ".join(map(repr, FINE))}] AS cuts),
 x AS (SELECT id, i, (SELECT count(*) FROM c WHERE cut < v) AS s FROM p)
 SELECT p.id AS qid, x.id, round({LENGTH} * sum(pow(greatest(0, coalesce(CASE WHEN s > 0 THEN cuts[s] END - v, 0), coalesce(v - CASE WHEN s < 15 THEN cuts[s + 1] END, 0)), 2)), 6) AS bound
-FROM p JOIN x ON p.i = x.i, k WHERE p.id < {QUERIES} GROUP BY ALL"""
+FROM p JOIN x ON p.i = x.i, k WHERE p.id % 50 = 0 GROUP BY ALL"""
 
 
-def bound_violations(spark, d, n=QUERIES):
-    """Pairs whose bound is above their distance: none, by every bound."""
-    return _bounds(spark, d, n).agg(F.count(F.when(F.col("bound") > F.col("dist") + 1e-9, 1)).alias("violations"), F.count("*").alias("pairs"))
+def bound_violations(spark, d):
+    """Pairs whose symbol bound is above their distance: none."""
+    return _bounds(spark, d).agg(F.count(F.when(F.col("bound") > F.col("dist") + 1e-9, 1)).alias("violations"), F.count("*").alias("pairs"))
 
 
-VIOLATION_SQL = f"SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) * {QUERIES} AS BIGINT) AS pairs FROM embeddings"
+VIOLATION_SQL = "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) * count(*) FILTER (WHERE vec_id % 50 = 0) AS BIGINT) AS pairs FROM embeddings"
 
 
 def index_statistics(spark, d):
@@ -237,14 +235,3 @@ QUERIES_SQL = {
     "eapca_sketch": (sketches, SKETCH_SQL), "eapca_node_sketch": (node_sketches, NODE_SQL), "lb_keogh_pairs": (keogh_pairs, KEOGH_SQL), "lb_sax_pairs": (sax_bounds, SAX_BOUND_SQL), "lb_violations": (bound_violations, VIOLATION_SQL),
     "index_statistics": (index_statistics, STATISTICS_SQL),
 }
-
-#: Transforms of all rows, of which the queries without the ending take the first ids.
-WHOLE = {
-    "envelope_all": (lambda s, d: envelopes(s, d, None), ENVELOPE_SQL.replace(f" WHERE id < {QUERIES}\n", "\n")),
-    "symbol_regions_all": (lambda s, d: regions(s, d, None), REGION_SQL.replace(" WHERE id < 50", "")),
-}
-#: Bounds for the query set of every id divisible by 50.
-EVERY = {
-    "lb_keogh_pairs_every50": (lambda s, d: keogh_pairs(s, d, None), every(KEOGH_SQL)), "lb_sax_pairs_every50": (lambda s, d: sax_bounds(s, d, None), every(SAX_BOUND_SQL, QUERIES, "p.id")),
-    "lb_violations_every50": (lambda s, d: bound_violations(s, d, None), "SELECT CAST(0 AS BIGINT) AS violations, CAST(count(*) * count(*) FILTER (WHERE vec_id % 50 = 0) AS BIGINT) AS pairs FROM embeddings"),
-}

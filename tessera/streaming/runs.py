@@ -1,8 +1,12 @@
 """A log-structured store of series: appended batches become sorted runs, runs of one level are merged.
 
 A store is a folder: ``runs/<n>`` are immutable Parquet tables sorted by the z-order key, and ``manifest/<version>``
-lists the runs of a version as (run, level, first_id, last_id, rows, batch). A version is written in one commit, and a
-reader keeps the version it began with. One writer at a time.
+lists the runs of a version as (run, level, first_id, last_id, rows, batch). ``summary`` holds the layout and the
+breakpoints, so a store that is opened again goes on. A version is written in one commit, and a reader keeps the version
+it began with. One writer at a time.
+
+A search cuts the runs' keys into nodes, once a version; it seeds its limits in the nearest nodes, reads the words of
+the nodes that are left, and then the series of the rows that their words leave. What is still buffered is scanned.
 
 Levels count merges: two neighbouring runs of one level become one of the next, so neighbours in a level are
 neighbours in time and a window over the last ids reads few runs.
@@ -10,19 +14,21 @@ neighbours in time and a window over the last ids reads few runs.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.config import Layout, SearchConfig
+from tessera.config import Layout, QueryType, SearchConfig
 from tessera.operators import search as exhaustive
 from tessera.operators.validate import check_series
 from tessera.plans import index as indexes
 
 _MANIFEST = "run int, level int, first_id long, last_id long, rows long, batch long"
+_SUMMARY = "layout string, dim int, cuts array<double>, shape array<int>"
 
 
 @dataclass(frozen=True)
@@ -48,6 +54,18 @@ class RunStore:
         self._root = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self.version = max((int(s.getPath().getName()) for s in self._list(f"{self.path}/manifest")), default=0)
+        self._index: tuple[int, indexes.Index] | None = None
+        if self.version:
+            self.summary = self._summary()
+
+    def _summary(self) -> indexes.Summary:
+        r = self.spark.read.schema(_SUMMARY).parquet(f"{self.path}/summary").first()
+        return indexes.Summary("zorder", Layout(**json.loads(r["layout"])), r["dim"], np.array(r["cuts"]).reshape(r["shape"]))
+
+    def _save_summary(self) -> None:
+        s = self.summary
+        row = (json.dumps(asdict(s.layout)), s.dim, [float(c) for c in s.cuts.ravel()], list(s.cuts.shape))
+        self.spark.createDataFrame([row], _SUMMARY).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/summary")
 
     def _list(self, folder: str):
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
@@ -65,7 +83,9 @@ class RunStore:
         self.version += 1
 
     def _write(self, rows: DataFrame, number: int) -> None:
-        rows.repartitionByRange("key").sortWithinPartitions("key", "id").write.mode("overwrite").parquet(f"{self.path}/runs/{number}")
+        path = f"{self.path}/runs/{number}"
+        rows.repartitionByRange("key").sortWithinPartitions("key", "id").write.mode("overwrite").parquet(path)
+        self.counters["bytes_written"] += self._fs.getContentSummary(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)).getLength()
 
     # building and inserting
 
@@ -78,6 +98,7 @@ class RunStore:
             raise ValueError("a store begins with at least one series")
         layout.check(dim, "zorder")
         self.summary = indexes.learn(series, "zorder", layout, dim, n)
+        self._save_summary()
         self._flush(series, batch=-1)
 
     def size(self) -> int:
@@ -190,7 +211,32 @@ class RunStore:
 
     def search(self, queries, config: SearchConfig) -> DataFrame:
         self._need()
-        return exhaustive.search(self.series(), queries, config, self.size())
+        config.check()
+        if config.type is QueryType.TOP_K and config.k > self.size():
+            raise ValueError("k is more than the number of series")
+        runs = self.runs()
+        stored = sum(r.rows for r in runs)
+        if not runs or config.type is QueryType.TOP_K and config.k > stored:
+            return exhaustive.search(self.series(), queries, config, self.size())
+        if self._index is None or self._index[0] != self.version:
+            self._index = (self.version, self._nodes(runs, stored))
+        found = indexes.search(self._index[1], queries, config)
+        if not self.pending:
+            return found
+        from tessera.operators.validate import as_queries
+
+        qids, q = as_queries(queries, self.summary.dim)
+        fresh = self.pending[0]
+        for p in self.pending[1:]:
+            fresh = fresh.unionByName(p)
+        return exhaustive.finish(found.select("qid", "id", "dist").unionByName(exhaustive.scan(fresh, qids, q, config).select("qid", "id", "dist")), config)
+
+    def _nodes(self, runs: list[Run], stored: int) -> indexes.Index:
+        layout = self.summary.layout
+        rows = self._read(runs)
+        length = indexes._prefix_length(rows, layout, stored, -(-layout.segments * layout.bits // 8))
+        rows = rows.withColumn("node", F.substring("key", 1, length) if length else F.lit(b""))
+        return indexes.Index(self.summary, rows.select("id", "series", "word", "node"), indexes._nodes(rows, self.summary), stored)
 
     def search_recent(self, queries, k: int, window: int) -> DataFrame:
         """Top-k among the last ``window`` series; fewer rows if fewer qualify."""

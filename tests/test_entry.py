@@ -15,7 +15,7 @@ def test_every_sql_has_a_query():
 
 def test_entry(spark):
     rows = __spark_entry__.entry(spark)
-    assert rows.columns == ["qid", "rank", "id", "dist"] and rows.count() == 50
+    assert rows.columns == ["qid", "rank", "id", "dist"] and rows.count() == 100
 
 
 @pytest.mark.parametrize("name", ["l2_topk", "l2_range_native", "recent_topk", "znorm", "z_key", "envelope", "dft_features", "lb_sax_pairs", "user_series_topk", "rel_join", "rel_rollup"])

@@ -9,7 +9,7 @@ from tests.brute import dtw
 from tests.test_entry import SF, TABLES
 
 
-@pytest.mark.parametrize("name", ["l2_topk_every50", "l2_range_isax_every50", "knn_label_vote_every50", "lb_keogh_pairs_every50", "lb_violations_every50", "user_series_topk_every50"])
+@pytest.mark.parametrize("name", ["l2_topk", "l2_range_isax", "knn_label_vote", "lb_keogh_pairs", "lb_violations", "user_series_topk"])
 def test_every_query_is_asked(spark, name):
     db = duckdb.connect()
     for t in TABLES:
@@ -35,20 +35,20 @@ def test_warping_against_brute_force_on_sparse_ids(spark, tmp_path):
     asked = [i for i in x if i % 50 == 0]
     far = {q: sorted((dtw(x[q], v, searches.DTW_BAND), i) for i, v in x.items()) for q in asked}
     run = __spark_entry__.queries()
-    for name in ("dtw_topk_every50", "dtw_topk_isax_every50"):
+    for name in ("dtw_topk", "dtw_topk_isax"):
         got = sorted((a.qid, a["rank"], a.id) for a in run[name](spark, str(tmp_path)).collect())
         assert got == sorted((q, k + 1, far[q][k][1]) for q in asked for k in range(searches.DTW_K))
-    got = sorted((a.qid, a.id) for a in run["dtw_range_every50"](spark, str(tmp_path)).collect())
+    got = sorted((a.qid, a.id) for a in run["dtw_range"](spark, str(tmp_path)).collect())
     assert got == sorted((q, i) for q in asked for d, i in far[q] if d <= searches.DTW_R)
 
 
 def test_blocks_give_the_rows_of_one_batch(spark):
-    s, q = tables.series(spark, SF), tables.queries(spark, SF, None)
+    s, q = tables.series(spark, SF), tables.queries(spark, SF)
     run = lambda b: search.search(s, b, searches.TOP)
     assert sorted(map(tuple, tables.in_blocks(q, run, 2000).collect())) == sorted(map(tuple, run(q).collect()))
 
 
-@pytest.mark.parametrize("name", ["envelope_all", "symbol_regions_all"])
+@pytest.mark.parametrize("name", ["envelope", "symbol_regions"])
 def test_every_row_is_transformed(spark, name):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{SF}/embeddings.parquet'")

@@ -41,7 +41,14 @@ def test_inserts_flushes_merges_and_windows(spark, tmp_path):
     assert sum(n.rows for n in runs) == 120 and store.stats()["buffered_rows"] == 0
     store.vacuum()
     again = RunStore(spark, str(tmp_path / "s"))
-    assert again.runs() == runs
+    assert again.runs() == runs and store.stats()["bytes_written"] > 0
+    check_top_k(again.search(q, SearchConfig(k=9)).collect(), q, x, 9)
+    check_range(again.search(q, SearchConfig(r=16.0, type=QueryType.RANGE)).collect(), q, x, 16.0)
+    again.insert(x[3])
+    more = np.concatenate([x, x[3:4]])
+    check_top_k(again.search(x[3:4], SearchConfig(k=4)).collect(), x[3:4], more, 4)
+    again.flush()
+    check_top_k(RunStore(spark, str(tmp_path / "s")).search(x[3:4], SearchConfig(k=121)).collect(), x[3:4], more, 121)
     check_top_k(store.search(q, SearchConfig(k=9)).collect(), q, x, 9)
 
 
