@@ -1,17 +1,19 @@
 """URL filter: host and path rules first, a path-template tree for the rest.
 
 Under each host, paths are cut into segments. Segments that look variable (digits, long hexadecimal words) are
-wildcards from the start; then, level by level, the branches of a template are compared with their siblings together:
-a branch whose share of blocked pages doesn't differ significantly (two-proportion z under ``z``) merges into the
-wildcard branch. A template is rejected when its purity, the smoothed share of blocked among its labelled pages, is at
-least ``cut``; each template is smoothed towards its parent's purity, and hosts towards the whole table's. Labels are
-the verdicts of the rules, so pages that no rule fits inherit what similar paths of their host got.
+wildcards from the start; then, level by level, the labelled branches of a template are compared with their labelled
+siblings together: a branch whose share of blocked pages doesn't differ significantly (two-proportion z under ``z``)
+merges into the wildcard branch. A branch without labels gives no evidence and stays by itself. A template is rejected
+when its purity, the share of blocked among its own labelled pages smoothed towards ``prior`` by ``strength`` pages, is
+at least ``cut``; each label counts once, in the template where its page ends. A template without labels has the purity
+of the nearest branch above it that differed significantly from its siblings, or else the prior. Labels are the verdicts
+of the rules, so pages that no rule fits get what similar paths of their host got.
 
 Everything is a DataFrame operation. Work after the first aggregate is on distinct (host, template) pairs, so a host
 with a third of all pages is a few rows; the join back to pages is one that adaptive execution can split.
 
-A null url or one without ``://`` has an empty host and path. Repeated rows get the same verdict each. Without any
-labelled page the purity is ``prior``. Only ``id_col`` and ``url_col`` are read.
+A null url or one without ``://`` has an empty host and path. Repeated rows get the same verdict each; a tie of two
+shares is no difference. Without any labelled page the purity is ``prior``. An empty table gives an empty result. Only ``id_col`` and ``url_col`` are read.
 """
 
 from __future__ import annotations
@@ -63,7 +65,7 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, depth:
     """One row for each row of ``df``: id, host, path, rule, verdict, template, purity.
 
     The tree has as many levels as the longest labelled path has segments, and ``USUAL`` where paths are that long: below
-    the last label a branch can only inherit its parent's purity. ``depth`` keeps fewer segments.
+    the last label nothing tells branches apart. ``depth`` keeps fewer segments.
     """
     s = Scratch(df.sparkSession, "urls")
     host, path = host_and_path(F.col(url_col))
@@ -73,28 +75,23 @@ def filter_urls(df: DataFrame, rules: Sequence[tuple[str, str]] = RULES, depth:
     labelled, blocked = F.col("ruled").isNotNull().cast("long"), (F.coalesce(F.col("ruled"), F.lit("")) == "block").cast("long")
     tree = pages.groupBy("host", "shape").agg(F.sum(labelled).alias("nl"), F.sum(blocked).alias("nb"))
     tree = s.write(tree)
-    total = tree.agg(F.sum("nl"), F.sum("nb"), F.max(F.when(F.col("nl") > 0, F.size("shape"))), F.max(F.size("shape"))).first()
-    whole = ((total[1] or 0) + strength * prior) / ((total[0] or 0) + strength)
-
-    def smoothed(t: DataFrame, above: Column) -> DataFrame:
-        sums = t.groupBy("node").agg(F.sum("nl").alias("__l"), F.sum("nb").alias("__b"))
-        return t.withColumn("__above", above).join(sums, "node").withColumn("purity", (F.col("__b") + strength * F.col("__above")) / (F.col("__l") + strength)).drop("__l", "__b", "__above")
-
-    tree = s.write(smoothed(tree.withColumn("node", F.col("host")), F.lit(whole)))
-    for d in range(max(total[2] or 0, min(total[3] or 0, USUAL))):
-        tree = tree.withColumn("seg", F.get(F.col("shape"), d))
+    total = tree.agg(F.max(F.when(F.col("nl") > 0, F.size("shape"))), F.max(F.size("shape"))).first()
+    tree = tree.withColumns({"node": F.col("host"), "open": F.lit(True), "above": F.lit(float(prior))})
+    for d in range(max(total[0] or 0, min(total[1] or 0, USUAL))):
+        tree = tree.withColumn("seg", F.when(F.col("open"), F.get(F.col("shape"), d)))
         branches = tree.where("seg is not null").groupBy("node", "seg").agg(F.sum("nl").alias("cl"), F.sum("nb").alias("cb"))
         parents = branches.groupBy("node").agg(F.sum("cl").alias("pl"), F.sum("cb").alias("pb"))
         others_l, others_b = F.col("pl") - F.col("cl"), F.col("pb") - F.col("cb")
         pooled = F.try_divide("pb", "pl")
         spread = F.sqrt(pooled * (1 - pooled) * (F.try_divide(F.lit(1.0), "cl") + F.try_divide(F.lit(1.0), others_l)))
-        apart = F.coalesce((spread > 0) & (F.abs(F.try_divide("cb", "cl") - F.try_divide(others_b, others_l)) >= z * spread), F.lit(False))
-        decided = branches.join(parents, "node").select("node", "seg", F.when(apart, F.col("seg")).otherwise("*").alias("to"))
-        moved = tree.join(decided, ["node", "seg"], "left").withColumn("parent_purity", F.col("purity"))
-        moved = moved.withColumn("node", F.when(F.col("to").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "to")))
-        ended = moved.where("to is null").drop("to", "seg", "parent_purity")
-        going = smoothed(moved.where("to is not null").drop("purity"), F.col("parent_purity")).drop("to", "seg", "parent_purity")
-        tree = s.write(ended.unionByName(going))
+        differs = (spread > 0) & (F.abs(F.try_divide("cb", "cl") - F.try_divide(others_b, others_l)) >= z * spread)
+        apart = F.coalesce(differs, F.lit(False))
+        own = F.when(apart, (F.col("cb") + strength * prior) / (F.col("cl") + strength))
+        decided = branches.join(parents, "node").select("node", "seg", F.when(apart | (F.col("cl") == 0), F.col("seg")).otherwise("*").alias("to"), own.alias("own"))
+        moved = tree.join(decided, ["node", "seg"], "left")
+        tree = s.write(moved.withColumns({"node": F.when(F.col("to").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), "to")), "open": F.col("to").isNotNull(), "above": F.coalesce("own", "above")}).drop("to", "seg", "own"))
+    sums = tree.groupBy("node").agg(F.sum("nl").alias("__l"), F.sum("nb").alias("__b"))
+    tree = tree.join(sums, "node").withColumn("purity", F.when(F.col("__l") > 0, (F.col("__b") + strength * prior) / (F.col("__l") + strength)).otherwise(F.col("above")))
     judged = tree.select(F.col("host").alias("__h"), F.col("shape").alias("__s"), F.col("node").alias("template"), "purity")
     out = pages.join(judged, (F.col("host") == F.col("__h")) & (F.col("shape") == F.col("__s")))
     method = F.when(F.col("purity") >= cut, "block").otherwise("allow")

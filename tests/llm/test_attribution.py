@@ -32,7 +32,7 @@ def lines(text):
 def test_lines(spark, rule):
     library = Tokenizer.from_file(PATH)
     library.post_processor = None
-    rows = [(i, t, None) for i, t in enumerate(["a\n\nb", "\n", "", None, "one two\n\n\n\nthree\n", "é\n日本語\n\n🙂x", "no line feed", "x\n" * 50])] + [r for r in awkward() if r[0] and r[0] > 5000]
+    rows = [(i, t, None) for i, t in enumerate(["a\n\nb", "\n", "", None, "one two\n\n\n\nthree\n", "é\n日本語\n\n🙂x", "no line feed", "x\n" * 50])] + [r for r in awkward() if r[0] and r[0] > 900]
     got = {}
     for r in attribution.count_by_line(frame(spark, rows), PATH, rule).collect():
         got.setdefault(r.doc_id, []).append((r.section, r.n_tokens, r.n_crossing, r.n_chars))
