@@ -9,14 +9,13 @@ follow the input without a cap; there are never more rows than keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm._shared import Scratch, partitions
@@ -27,13 +26,15 @@ BUCKET = 16 << 20
 #: So many chunks (or buckets) have those sizes; beyond, they grow with the input up to ``GROWN`` times.
 USUAL = 1 << 13
 GROWN = 8
+#: Cuts that may be broadcast, 40 bytes each.
+MOST_CUTS = 1_000_000
 
 
 @dataclass(frozen=True)
 class Plan:
     df: DataFrame
     bits: int  # log2 of the number of buckets
-    chunk: Column  # of a row with the columns id and text
+    place: Callable[[DataFrame], DataFrame]  # adds the chunk to rows with the columns id and text
     total: int  # bytes of text
     ranges: int = 0  # chunks below this number ascend with the id
     size: int = 0  # bytes that a chunk is meant to have
@@ -45,7 +46,7 @@ class Plan:
 
     def deal(self, df: DataFrame) -> DataFrame:
         """``df`` with the chunk of each row; it has the columns id and text, and may have others."""
-        return df.withColumn("chunk", self.chunk)
+        return self.place(df)
 
 
 def _sized(total: int, unit: int, grown: int) -> int:
@@ -59,14 +60,14 @@ def plan_chunks(df: DataFrame, chunk: int = CHUNK, grown: int = GROWN) -> Plan:
     total = total or 0
     n = min(max(2 * partitions(df.sparkSession), _sized(total, chunk, grown)), max(1, rows))
     bits = max(4, int(_sized(total, BUCKET, grown)).bit_length())
-    return Plan(df, bits, F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int"), total)
+    return Plan(df, bits, lambda rows: rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int")), total)
 
 
 def plan_ranges(s: Scratch, df: DataFrame, chunk: int = CHUNK, grown: int = GROWN) -> Plan:
     """Cuts the rows of ``df`` (id, text; ids numbers) into chunks that ascend with the id, by prefix sums of their bytes.
 
-    A chunk has about ``chunk`` bytes, or else one id. The cuts, one number a chunk, are broadcast. Rows without an id are
-    dealt out by a hash of the text to chunks from number ``ranges`` on.
+    A chunk has about ``chunk`` bytes, or else one id. The cuts, two numbers a chunk, are broadcast up to ``MOST_CUTS`` of
+    them and joined beyond. Rows without an id are dealt out by a hash of the text to chunks from number ``ranges`` on.
     """
     from tessera.llm.mixing import prefix_sums
 
@@ -75,16 +76,23 @@ def plan_ranges(s: Scratch, df: DataFrame, chunk: int = CHUNK, grown: int = GROW
     total, without = (x.agg(F.sum("bytes")).first()[0] or 0 for x in (known, unknown))
     size = max(1, -(-(total + without) // max(2 * partitions(df.sparkSession), _sized(total + without, chunk, grown))))
     placed = prefix_sums(s, known.withColumn("__all", F.lit(0)), "__all", [F.col("id")], "bytes", "before")
-    cuts = np.sort(np.array([r["id"] for r in placed.groupBy(F.floor(F.col("before") / size)).agg(F.min("id").alias("id")).select("id").collect()]))
-    shared = df.sparkSession.sparkContext.broadcast(cuts)
+    most = sizes.agg(F.max("id")).first()[0]
+    cuts = sorted(r["id"] for r in placed.groupBy(F.floor(F.col("before") / size)).agg(F.min("id").alias("id")).select("id").collect())
+    kind = df.schema["id"].dataType.simpleString()
+    ranges = s.write(df.sparkSession.createDataFrame(list(zip(cuts, [*cuts[1:], None], range(len(cuts)), strict=False)), f"low {kind}, end {kind}, chunk int"))
+    # cuts meet ids in cells of equal width, so that the join has a key; a cell holds the cuts whose ranges touch it
+    width = max(1.0, (float(most) - float(cuts[0])) / len(cuts)) if cuts else 1.0
+    cell = lambda c: F.floor(c.cast("double") / F.lit(width))
+    ranges = ranges.withColumn("cell", F.explode(F.sequence(cell(F.col("low")), cell(F.coalesce("end", F.lit(most).cast(kind))))))
+    after = len(cuts) + F.pmod(F.xxhash64("text"), F.lit(max(1, -(-without // size))))
+    hinted = F.broadcast(ranges) if len(cuts) <= MOST_CUTS else ranges
+    own = [hinted["cell"] == cell(F.col("id")), hinted["low"] <= F.col("id"), hinted["end"].isNull() | (F.col("id") < hinted["end"])]
 
-    @F.pandas_udf("int")
-    def place(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for ids in batches:
-            yield pd.Series(np.searchsorted(shared.value, ids.fillna(0).to_numpy().astype(shared.value.dtype), side="right") - 1)
+    def place(rows: DataFrame) -> DataFrame:
+        found = rows.join(hinted, own[0] & own[1] & own[2], "left")
+        return found.select(*rows.columns, F.coalesce(hinted["chunk"], after).cast("int").alias("chunk"))
 
-    after = len(cuts) + F.pmod(F.xxhash64("text"), F.lit(max(1, -(-without // size))))
-    return Plan(df, max(4, int(_sized(total + without, BUCKET, grown)).bit_length()), F.when(F.col("id").isNull(), after).otherwise(place("id")).cast("int"), total + without, len(cuts), size)
+    return Plan(df, max(4, int(_sized(total + without, BUCKET, grown)).bit_length()), place, total + without, len(cuts), size)
 
 
 def ordered(table: pa.Table) -> pa.Table:

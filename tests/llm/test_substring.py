@@ -4,6 +4,8 @@ import re
 import pytest
 
 from tessera.llm import substring
+from tessera.llm._shared import Scratch
+from tessera.llm.chunks import plan_ranges
 from tests.llm.cases import awkward, frame
 
 
@@ -54,3 +56,21 @@ def test_spans_hold_the_same_words(spark):
 
 def test_empty(spark):
     assert substring.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_chunks_follow_bytes(spark):
+    """Twenty long texts with low ids, half of all ids null: no chunk has more than twice its share or one text."""
+    rows = [(i, "w " * 20000) for i in range(20)] + [(i if i % 2 else None, f"a short text {i}") for i in range(100, 4000)] + [(-5, "below"), (10**12, "far above")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    plan = plan_ranges(Scratch(spark, "t"), df, chunk=50_000)
+    got = plan.table.collect()
+    assert sorted(((r.id, r.text) for r in got), key=repr) == sorted(rows, key=repr)
+    sizes, ids = {}, {}
+    for r in got:
+        sizes[r.chunk] = sizes.get(r.chunk, 0) + len(r.text) + 1
+        if r.id is not None:
+            ids.setdefault(r.chunk, []).append(r.id)
+        assert (r.id is None) == (r.chunk >= plan.ranges)
+    assert max(sizes.values()) <= 2 * max(50_000, 40_001)
+    order = sorted(ids)
+    assert all(max(ids[a]) < min(ids[b]) for a, b in zip(order, order[1:], strict=False))
