@@ -307,13 +307,20 @@ def _components(s: Scratch, c: _Candidates, percent: int, orders: int) -> DataFr
     every = s.write(_links(c, _meet(star, c.posts, percent, F.lit(True)), percent, orders).select("a", "b"))
     label = components(s, every.toDF("u", "v"))
     left = c.posts
-    for last in (False, True):
+    for step in ("star 1", "star 2", "each", "all"):
         named = left.drop("comp").join(label.toDF("cls", "comp"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
         alive = named.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
         left = s.write(named.join(alive, "token", "left_semi"))
         if not left.limit(1).count():
             break
-        if last:
+        if step.startswith("star"):  # another pivot, before the classes that the first left out meet all others
+            again = F.min_by(F.struct(*(x for x in left.columns if x not in ("token", "part"))), F.struct(F.xxhash64(F.lit(step), "cls"), "cls"))
+            pivots = left.groupBy("token").agg(again.alias("x")).select("token", "x.*")
+            more = s.write(_links(c, _meet(pivots, left, percent, F.col("a_comp") != F.col("b_comp")), percent, orders).select("a", "b"))
+            every = every.unionByName(more)
+            label = components(s, every.toDF("u", "v"))
+            continue
+        if step == "all":
             sizes = left.groupBy("token", "comp").agg(F.count("*").alias("size"))
             most = sizes.groupBy("token").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
             left = left.join(most, "token").withColumn("pivot", F.col("comp") != F.col("main")).drop("main")
