@@ -26,6 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import release
 from tessera.llm._text import pieces
 
 #: Unicode white space (unlike ``str.isspace`` without U+001C to U+001F).
@@ -34,7 +35,7 @@ _SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS
 #: A space or line feed beside other white space, or at the end of the text, is no safe place to cut.
 _KNOTTY = re.compile(rf"[ \n](?:[{_WS}]|\Z)|[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000][ \n]")
 WIDE = 64
-CACHE = 400_000
+CACHE = 150_000
 _NONE = np.int64(2**62)
 
 
@@ -286,7 +287,7 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def texts_of(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int, list[str]]]:
+def texts_of(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, list[str]]]:
     """(first row, end row, texts) of runs of whole texts of about ``most`` bytes; null is empty."""
     from tessera.llm._text import as_buffer
 
@@ -305,6 +306,7 @@ def encode_documents(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                 ids, counts = bpe.encode(texts)
                 offsets = pa.array(np.concatenate(([0], np.cumsum(counts))), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], ["id", "ids"])
+            release()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
@@ -341,6 +343,7 @@ def round_trip(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 one = [hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
                 two = [hashlib.sha256(text[x:y].decode("utf-8", "replace").encode()).hexdigest() for x, y in zip(cut[:-1], cut[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(counts, pa.int64()), pa.array(one), pa.array(two)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            release()
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

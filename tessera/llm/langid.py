@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm._shared import release
 from tessera.llm._text import LOWER, as_buffer, pieces
 
 DIM = 4096
@@ -110,6 +111,7 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             for a, b, d, o in blocks(batch.column(0)):
                 seen += (gram_counts(d, o, dim) > 0).sum(axis=0)
                 n += b - a
+            release()
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim + 1)), pa.array(np.append(seen, n))], ["place", "n"])
 
@@ -174,6 +176,7 @@ def predict(df: DataFrame, model: Model, keep: dict[str, str], text_col: str = "
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(i).slice(a, b - a) for i in range(len(keep))), pa.array(names[lang], pa.string()), pa.array(score), pa.array(rejected)], [*keep.values(), "lang_pred", "score", "rejected"]
                 )
+            release()
 
     return df.select(*(F.col(x).alias(y) for x, y in keep.items()), F.col(text_col).alias("__text")).mapInArrow(run, f"{kinds}, lang_pred string, score double, rejected boolean")
 
