@@ -3,11 +3,13 @@
 Runs of ``k`` words are edges of a De Bruijn graph whose nodes are runs of k - 1. An edge repeats when it also starts
 in a document with a smaller id. Each chunk of documents (ascending ids) sends the hashes of its distinct edges to hash
 buckets, which answer with the first chunk that holds each. Consecutive repeated edges with one source chunk are a path;
-equal paths compact to one, which travels, as its words, in a Spark join to its source chunk. The chunk walks it
-through its own edges: where the next edge isn't the next one in the source document the path branches and a new span
-begins. So repeated nonbranching paths compact to spans (document, start, words) = (source document, start), and the
-words at both coordinates are compared one by one. A difference would be a hash collision; the whole run then starts
-again with another seed.
+equal paths of a chunk are one row with the places that have it, and equal paths of all chunks compact to one, which
+travels, as its words, in a Spark join to its source chunk. The chunk walks it through its own edges: where the next edge
+isn't the next one in the source document the path branches and a new span begins. So repeated nonbranching paths compact
+to spans (document, start, words) = (source document, start), and the words at both coordinates are compared one by one.
+Verified spans that follow each other are joined to the ranges of their path, which go back, one row a path and chunk, to
+the documents: words are removed by these ranges alone. If any edge found no verified span (a hash collision), the whole
+run starts again with another seed.
 
 Null and empty texts have no words. Rows that share an id are never each other's source. A null id is after all others.
 An empty table gives an empty result. Only ``id_col`` and ``text_col`` are read.
@@ -16,9 +18,11 @@ An empty table gives an empty result. Only ``id_col`` and ``text_col`` are read.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,22 +31,27 @@ from tessera.llm._text import as_buffer, mix, pieces, shingle_hashes, word_hashe
 from tessera.llm.chunks import Plan, bucket_edges, by_bucket, ordered, pack, plan_ranges, unpack
 
 
-def _edges(table: pa.Table, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, word starts, word ends, words of each text, edge hash, edge's text, edge's first word, text offsets)."""
+def _words(table: pa.Table, hashed: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, word ends, words of each text, word hashes if asked for)."""
     data, offsets = as_buffer(table["text"])
     starts, ends, counts, hashes = [], [], [], []
     for a, _, d, o in pieces(data, offsets):
         st, en, c = words(d, o)
-        hashes.append(word_hashes(d, st, en))
+        if hashed:
+            hashes.append(word_hashes(d, st, en))
         starts.append(st + offsets[a])
         ends.append(en + offsets[a])
         counts.append(c)
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
-    starts, ends, counts, hashes = join(starts, np.int64), join(ends, np.int64), join(counts, np.int64), join(hashes, np.uint64)
+    return data, join(starts, np.int64), join(ends, np.int64), join(counts, np.int64), join(hashes, np.uint64)
+
+
+def _edges(table: pa.Table, k: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, word starts, word ends, words of each text, edge hash, edge's text, edge's first word)."""
+    data, starts, ends, counts, hashes = _words(table)
     if seed:
         hashes = mix(hashes + np.uint64(seed))
-    values, owner, at = shingle_hashes(hashes, counts, k)
-    return data, starts, ends, counts, values, owner, at, offsets
+    return data, starts, ends, counts, *shingle_hashes(hashes, counts, k)
 
 
 def _group_ids(table: pa.Table) -> np.ndarray:
@@ -101,14 +110,15 @@ def _firsts(table: pa.Table, ranges: int) -> pa.Table:
     )
 
 
-def _mark(k: int, bits: int, seed: int, id_type: pa.DataType):
-    """A row for each document, and a row (with src) for each path that has to be checked."""
+def _find(k: int, bits: int, seed: int, id_type: pa.DataType):
+    """A row for each distinct path of the chunk: its source chunk, its edges, its words, and where the chunk has it."""
 
     def run(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in types], names)
         chunk = table["chunk"][0].as_py()
         table = ordered(table)
-        data, starts, ends, counts, values, owner, at, _ = _edges(table, k, seed)
-        first_word = np.concatenate(([0], np.cumsum(counts)))
+        data, starts, ends, counts, values, owner, at = _edges(table, k, seed)
         keys, first, inverse = np.unique(values, return_index=True, return_inverse=True)
         edges = bucket_edges(keys, bits)
         source = np.full(len(keys), -1, np.int32)
@@ -120,44 +130,64 @@ def _mark(k: int, bits: int, seed: int, id_type: pa.DataType):
         src = source[inverse]
         here = (src < 0) & (group[owner] > group[owner[first]][inverse]) if len(values) else np.zeros(0, bool)
         src = np.where(here, chunk, src)
-        hit = src >= 0
 
+        # paths: consecutive repeated edges of one text with one source chunk
+        which = np.flatnonzero(src >= 0)
+        fresh = np.ones(len(which), bool)
+        fresh[1:] = (at[which][1:] != at[which][:-1] + 1) | (owner[which][1:] != owner[which][:-1]) | (src[which][1:] != src[which][:-1])
+        begin = np.flatnonzero(fresh)
+        length = np.diff(np.append(begin, len(which)))
+        w0, row, goal = at[which[begin]], owner[which[begin]], src[which[begin]]
+        distinct: dict[tuple[int, bytes], int] = {}
+        path = np.array([distinct.setdefault((c, data[starts[a] : ends[a + n + k - 2]].tobytes()), len(distinct)) for c, a, n in zip(goal.tolist(), w0, length, strict=True)], np.int64)
+        by = np.argsort(path, kind="stable")
+        one = by[np.flatnonzero(np.diff(path[by], prepend=-1))]
+        cut = pa.array(np.concatenate(([0], np.cumsum(np.bincount(path, minlength=len(distinct))))), pa.int32())
+        first_word = np.concatenate(([0], np.cumsum(counts)))
+        ids = table["id"].combine_chunks().cast(id_type).take(pa.array(row[by]))
+        lists = [pa.ListArray.from_arrays(cut, x) for x in (ids, pa.array(row[by], pa.int32()), pa.array((w0 - first_word[row])[by], pa.int64()))]
+        return pa.table([pa.array(np.full(len(one), chunk), pa.int32()), pa.array(goal[one], pa.int32()), pa.array(length[one], pa.int64()), pa.array([p for _, p in distinct], pa.binary()), *lists], names)
+
+    names = ["own", "chunk", "edges", "path", "ids", "rows", "starts"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(id_type), pa.list_(pa.int32()), pa.list_(pa.int64())]
+    return run
+
+
+def _remove(id_type: pa.DataType):
+    """A row for each document, without the words in the ranges lo to hi of the paths that start at its ``starts``."""
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table([pa.array([], t) for t in (id_type, pa.int64(), pa.int64(), pa.string())], names)
+        table = ordered(table)
+        data, starts, ends, counts, _ = _words(table, hashed=False)
+        first_word = np.concatenate(([0], np.cumsum(counts)))
+        places = pc.list_value_length(found["rows"]).to_numpy()
+        begin = first_word[pc.list_flatten(found["rows"]).to_numpy()] + pc.list_flatten(found["starts"]).to_numpy()
         cover = np.zeros(len(starts) + 1, np.int64)
-        np.add.at(cover, at[hit], 1)
-        np.add.at(cover, at[hit] + k, -1)
+        np.add.at(cover, begin + np.repeat(found["lo"].to_numpy(), places), 1)
+        np.add.at(cover, begin + np.repeat(found["hi"].to_numpy(), places), -1)
         gone = np.cumsum(cover[:-1]) > 0
-        word_owner = np.repeat(np.arange(len(counts)), counts)
-        removed = np.bincount(word_owner[gone], minlength=len(counts))
+        owner = np.repeat(np.arange(len(counts)), counts)
+        removed = np.bincount(owner[gone], minlength=len(counts))
         kept = np.flatnonzero(~gone)
         last = np.ones(len(kept), bool)
-        last[:-1] = word_owner[kept][1:] != word_owner[kept][:-1]
-        text = data.copy()
+        last[:-1] = owner[kept][1:] != owner[kept][:-1]
         inside = np.zeros(len(data) + 1, np.int32)
         np.add.at(inside, starts[kept], 1)
         np.add.at(inside, ends[kept], -1)
         stay = np.cumsum(inside[:-1]) > 0
         gaps = ends[kept[~last]]
         stay[gaps] = True
+        text = data.copy()
         text[gaps] = 0x20
-        sizes = np.bincount(word_owner[kept], weights=ends[kept] - starts[kept] + ~last, minlength=len(counts)).astype(np.int64)
+        sizes = np.bincount(owner[kept], weights=ends[kept] - starts[kept] + ~last, minlength=len(counts)).astype(np.int64)
         cut = np.concatenate(([0], np.cumsum(sizes)))
         out = text[stay].tobytes()
         shas = [hashlib.sha256(out[a:b]).hexdigest() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return pa.table([table["id"].cast(id_type), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(shas, pa.string())], names)
 
-        # paths: consecutive repeated edges of one text with one source chunk
-        which = np.flatnonzero(hit)
-        fresh = np.ones(len(which), bool)
-        fresh[1:] = (at[which][1:] != at[which][:-1] + 1) | (owner[which][1:] != owner[which][:-1]) | (src[which][1:] != src[which][:-1])
-        begin = np.flatnonzero(fresh)
-        length = np.diff(np.append(begin, len(which)))
-        w0 = at[which[begin]]
-        paths = [data[starts[a] : ends[a + n + k - 2]].tobytes() for a, n in zip(w0, length, strict=True)]
-        ids, n, m = table["id"].cast(id_type), table.num_rows, len(paths)
-        own = pa.array(owner[which[begin]])
-        docs = pa.table({"id": ids, "n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(shas, pa.string()), "src": pa.nulls(n, pa.int32()), "start": pa.nulls(n, pa.int64()), "path": pa.nulls(n, pa.binary())})
-        asks = pa.table({"id": ids.take(own) if m else ids.slice(0, 0), "n_words": pa.nulls(m, pa.int64()), "n_removed": pa.nulls(m, pa.int64()), "kept_sha256": pa.nulls(m, pa.string()), "src": pa.array(src[which[begin]], pa.int32()), "start": pa.array(w0 - first_word[owner[which[begin]]], pa.int64()), "path": pa.array(paths, pa.binary())})
-        return pa.concat_tables([docs, asks])
-
+    names = ["id", "n_words", "n_removed", "kept_sha256"]
     return run
 
 
@@ -169,11 +199,11 @@ def _check(k: int, seed: int, id_type: pa.DataType):
         if not asks.num_rows or not table.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int32(), pa.string(), pa.int64(), pa.int64(), id_type, pa.int64(), pa.bool_())], names)
         table = ordered(table)
-        data, starts, ends, counts, values, owner, at, _ = _edges(table, k, seed)
+        data, starts, ends, counts, values, owner, at = _edges(table, k, seed)
         keys, first = np.unique(values, return_index=True)
         first_word = np.concatenate(([0], np.cumsum(counts)))
         paths = pa.table({"text": asks["path"].cast(pa.large_binary()).combine_chunks().cast(pa.large_string())})
-        p_data, p_starts, p_ends, p_counts, p_values, p_owner, p_at, _ = _edges(paths, k, seed)
+        p_data, p_starts, p_ends, p_counts, p_values, p_owner, p_at = _edges(paths, k, seed)
         found = np.minimum(np.searchsorted(keys, p_values), max(0, len(keys) - 1))
         place = first[found] if len(keys) else np.zeros(len(p_values), np.int64)
         there = keys[found] == p_values if len(keys) else np.zeros(len(p_values), bool)
@@ -211,25 +241,34 @@ def _verify(s: Scratch, plan: Plan, asks: DataFrame, k: int, seed: int, id_type:
     return s.write(spans)
 
 
-def _run(s: Scratch, df: DataFrame, k: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(documents, paths of documents, spans of paths) with all spans verified."""
+@dataclass(frozen=True)
+class _Found:
+    plan: Plan
+    paths: DataFrame  # own, chunk, pid, ids, rows, starts: where chunk ``own`` has a path whose source is in ``chunk``
+    spans: DataFrame  # chunk, pid, at, n_words, src_id, src_start: all verified
+
+
+def _run(s: Scratch, df: DataFrame, k: int, id_col: str, text_col: str) -> _Found:
     plain = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = plain.schema["id"].dataType.simpleString()
+    if kind not in _ARROW:
+        raise TypeError(f"{id_col} must be a number, not {kind}")
     id_type = _ARROW[kind]
     plan = plan_ranges(s, plain)
     for seed in range(3):
         sent = plan.table.groupBy("chunk").applyInArrow(_send(k, plan.bits, seed), "bucket int, chunk int, keys binary")
         replies = s.write(sent.groupBy("bucket").applyInArrow(_answer(plan.ranges), "chunk int, bucket int, seen binary, source binary"))
-        marked = plan.table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_mark(k, plan.bits, seed, id_type), f"id {kind}, n_words long, n_removed long, kept_sha256 string, src int, start long, path binary")
-        marked = s.write(marked)
+        found = plan.table.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(_find(k, plan.bits, seed, id_type), f"own int, chunk int, edges long, path binary, ids array<{kind}>, rows array<int>, starts array<long>")
+        found = s.write(found.withColumn("pid", F.md5("path")))
         s.drop(replies)
-        asked = marked.where("src is not null").select("id", "start", F.col("src").alias("chunk"), "path")
-        distinct = s.write(asked.groupBy("chunk", "path").agg(F.lit(1).alias("one")).select("chunk", F.md5("path").alias("pid"), "path"))
-        spans = _verify(s, plan, distinct, k, seed, id_type, kind)
+        distinct = s.write(found.groupBy("chunk", "path").agg(F.first("pid").alias("pid"), F.first("edges").alias("edges")))
+        spans = _verify(s, plan, distinct.drop("edges"), k, seed, id_type, kind)
+        wanted = distinct.agg(F.sum("edges")).first()[0]
+        verified = spans.where("same").agg(F.sum(F.col("n_words") - (k - 1))).first()[0]
         s.drop(distinct)
-        if not spans.where("not same").limit(1).count():
-            return marked.where("src is null"), asked.select("id", "start", "chunk", F.md5("path").alias("pid")), spans.drop("same")
-        s.drop(marked, spans)
+        if wanted == verified:
+            return _Found(plan, found.drop("path", "edges"), spans.drop("same"))
+        s.drop(found, spans)
     raise RuntimeError("edges collided under three seeds")
 
 
@@ -242,12 +281,18 @@ def remove_repeats(df: DataFrame, k: int = 13, id_col: str = "doc_id", text_col:
     Removes each word that a window of k words covers whose words also start in a document with a smaller id; the ids
     must be numbers. Windows are judged on the input. Kept words are joined by one space before hashing.
     """
-    docs, _, _ = _run(Scratch(df.sparkSession, "substring"), df, k, id_col, text_col)
-    return docs.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256")
+    found = _run(Scratch(df.sparkSession, "substring"), df, k, id_col, text_col)
+    kind = df.schema[id_col].dataType.simpleString()
+    # the spans of a path follow each other without a gap, as all of its edges are in one
+    ranges = found.spans.groupBy("chunk", "pid").agg(F.min("at").alias("lo"), F.max(F.col("at") + F.col("n_words")).alias("hi"))
+    covered = found.paths.drop("ids").join(ranges, ["chunk", "pid"]).select(F.col("own").alias("chunk"), "rows", "starts", "lo", "hi")
+    docs = found.plan.table.groupBy("chunk").cogroup(covered.groupBy("chunk")).applyInArrow(_remove(_ARROW[kind]), f"id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return docs.withColumnRenamed("id", id_col)
 
 
 def repeated_spans(df: DataFrame, k: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The verified spans: id, start, n_words, src_id, src_start, in words; src is an earlier document with the same words."""
-    _, paths, spans = _run(Scratch(df.sparkSession, "substring"), df, k, id_col, text_col)
-    both = paths.join(spans, ["chunk", "pid"])
-    return both.select(F.col("id").alias(id_col), (F.col("start") + F.col("at")).alias("start"), "n_words", "src_id", "src_start")
+    found = _run(Scratch(df.sparkSession, "substring"), df, k, id_col, text_col)
+    places = found.paths.select("chunk", "pid", F.explode(F.arrays_zip("ids", "starts")).alias("x"))
+    both = places.join(found.spans, ["chunk", "pid"])
+    return both.select(F.col("x.ids").alias(id_col), (F.col("x.starts") + F.col("at")).alias("start"), "n_words", "src_id", "src_start")
