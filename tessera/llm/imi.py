@@ -193,7 +193,9 @@ def search(
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(whose)), pa.array([x[r].tobytes() for r in whose], pa.binary()), pa.array(low[whose]), pa.array(np.concatenate(shard), pa.int32())], ["id", "x", "low", "shard"])
 
     asked = rows.where(queries).groupBy("id").agg(F.min("v").alias("v"))
-    routed = s.write(asked.repartition(partitions(spark), "id").mapInArrow(route, f"id {id_kind}, x binary, low double, shard int"))
+    # by a hash of its own: Spark would take the aggregate's exchange for one by id, and put small ones into one task
+    spread = asked.repartition(partitions(spark), F.xxhash64(F.lit(21), "id"))
+    routed = s.write(spread.mapInArrow(route, f"id {id_kind}, x binary, low double, shard int"))
     load = np.ones(len(chunks), np.int64)
     for r in routed.groupBy("shard").count().collect():  # a row a shard
         load[r["shard"]] = -(-r["count"] // block)
