@@ -74,3 +74,9 @@ def test_chunks_follow_bytes(spark):
     assert max(sizes.values()) <= 2 * max(50_000, 40_001)
     order = sorted(ids)
     assert all(max(ids[a]) < min(ids[b]) for a, b in zip(order, order[1:], strict=False))
+
+
+def test_ids_that_are_no_numbers_raise(spark):
+    df = spark.createDataFrame([("a", "x y")], "doc_id string, text string")
+    with pytest.raises(TypeError, match="must be a number"):
+        substring.remove_repeats(df)
