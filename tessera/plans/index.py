@@ -1,13 +1,13 @@
 """Indexes: summary tables that prune rows before the exact distance, all with the exhaustive plan's answer.
 
 An index is ordinary tables. ``rows`` has (id, series, word, node); ``nodes``, one row a node, what bounds all its
-members. A search filters nodes (a small table), then words (the series column is not read), then joins the few rows
-that are left to their series and measures them:
+members. A search reads the rows once, sorted by node, in blocks that meet blocks of queries:
 
-    nodes with bound <= limit -> words with bound <= limit -> series by id -> exact distance -> top-k or range
+    nodes with bound <= limit -> words with bound <= limit -> exact distance -> top-k or range
 
-For top-k the limit of each query comes from a seed: the exact k-th distance inside the node whose bound is least,
-which can't be less than the true k-th distance. Strategies differ in words and nodes only:
+all in the task that has the rows, so that only what is found is shuffled. For top-k the limit of each query comes from
+a seed: the exact k-th distance inside the nodes whose bounds are least, which can't be less than the true k-th
+distance. Strategies differ in words and nodes only:
 
 =========  =====================================  ==================================================
 sax        segment means, cut into symbols        one
@@ -26,17 +26,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import DistanceType, Layout, QueryType, SearchConfig
 from tessera.functions import kernels
-from tessera.operators.search import envelopes, finish, matrix, scan
+from tessera.operators.search import envelopes, finish, matrix, not_beyond, scan
 from tessera.operators.validate import as_queries, check_series
 
 STRATEGIES = ("sax", "isax", "zorder", "multiary", "sfa", "eapca")
 #: Nodes are filtered on the driver, so there are at most this many; larger nodes follow from more rows.
 MOST_NODES = 100_000
+#: Bounds of queries and nodes that the driver holds at once.
+MOST_BOUNDS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -56,58 +58,138 @@ class Summary:
             return np.concatenate(kernels.sketch(x, self.layout.segments), axis=1)
         return kernels.symbolize(kernels.paa(x, self.layout.segments), self.cuts)
 
-    def bound(self, q: np.ndarray, config: SearchConfig):
-        """A function of words: for each a value that the distance to the query can't be less than."""
-        lengths = np.diff(kernels.edges(self.dim, self.layout.segments)).astype(float)
-        if config.distance is DistanceType.DTW and self.strategy in ("sfa", "eapca"):
-            return lambda w: np.zeros(len(w))  # these bound the Euclidean distance only
-        if self.strategy == "sfa":
-            weights = kernels.fourier_weights(self.dim, self.layout.word_length, self.layout.skip_mean)
-            table = kernels.sfa_table(kernels.fourier(q[None], self.layout.word_length, self.layout.skip_mean)[0], self.cuts, weights)
-            return lambda w: kernels.table_bound(table, w)
-        if self.strategy == "eapca":
-            (m,), (d,) = kernels.sketch(q[None], self.layout.segments)
-            s = self.layout.segments
-            return lambda w: kernels.sketch_bound(m, d, w[:, :s], w[:, s:], lengths)
-        upper, lower = envelopes(config, q[None])
-        table = kernels.sax_table(kernels.paa(upper, self.layout.segments)[0], kernels.paa(lower, self.layout.segments)[0], self.cuts, lengths)
-        return lambda w: kernels.table_bound(table, w)
-
-    def node_bound(self, q: np.ndarray, config: SearchConfig, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """The same for nodes whose members' words lie between ``low`` and ``high``."""
-        lengths = np.diff(kernels.edges(self.dim, self.layout.segments)).astype(float)
-        if config.distance is DistanceType.DTW and self.strategy in ("sfa", "eapca"):
-            return np.zeros(len(low))
+    def blind(self, config: SearchConfig) -> bool:
+        """Whether words say nothing: these bound the Euclidean distance only."""
+        return config.distance is DistanceType.DTW and self.strategy in ("sfa", "eapca")
+
+    def ends(self, q: np.ndarray, config: SearchConfig) -> tuple[np.ndarray, np.ndarray]:
+        """What of queries is compared to words, greatest and least: segment means of envelopes, coefficients or sketches."""
         if self.strategy == "eapca":
-            (m,), (d,) = kernels.sketch(q[None], self.layout.segments)
-            s = self.layout.segments
-            return kernels.node_sketch_bound(m, d, high[:, :s], low[:, :s], high[:, s:], low[:, s:], lengths)
+            both = np.concatenate(kernels.sketch(q, self.layout.segments), axis=1)
+            return both, both
         if self.strategy == "sfa":
-            weights = kernels.fourier_weights(self.dim, self.layout.word_length, self.layout.skip_mean)
-            value, cuts = kernels.fourier(q[None], self.layout.word_length, self.layout.skip_mean)[0], self.cuts
-            upper = lower = value
-        else:
-            up, lo = envelopes(config, q[None])
-            upper, lower = kernels.paa(up, self.layout.segments)[0], kernels.paa(lo, self.layout.segments)[0]
-            cuts, weights = np.tile(self.cuts, (self.layout.segments, 1)), lengths
-        total = np.zeros(len(low))
-        for j in range(len(upper)):
-            ends = np.concatenate(([-np.inf], cuts[j], [np.inf]))
-            gap = np.maximum(0, np.maximum(ends[low[:, j].astype(int)] - upper[j], lower[j] - ends[high[:, j].astype(int) + 1]))
-            total += weights[j] * gap**2
+            both = kernels.fourier(q, self.layout.word_length, self.layout.skip_mean)
+            return both, both
+        upper, lower = envelopes(config, q)
+        return kernels.paa(upper, self.layout.segments), kernels.paa(lower, self.layout.segments)
+
+    def weights(self) -> np.ndarray:
+        """What a squared gap counts."""
+        if self.strategy == "sfa":
+            return kernels.fourier_weights(self.dim, self.layout.word_length, self.layout.skip_mean)
+        lengths = np.diff(kernels.edges(self.dim, self.layout.segments)).astype(float)
+        return np.tile(lengths, 2) if self.strategy == "eapca" else lengths
+
+    def tables(self, upper: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """[segment][symbol][query] -> contribution to the bound; not for eapca."""
+        table = kernels.sfa_tables(upper, self.cuts, self.weights()) if self.strategy == "sfa" else kernels.sax_tables(upper, lower, self.cuts, self.weights())
+        return np.minimum(table, 1e30).astype(np.float32)
+
+    def node_bounds(self, upper: np.ndarray, lower: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """By query and node a value that no distance to a member is less than; members' words lie between ``low`` and ``high``."""
+        total = np.zeros((len(upper), len(low)))
+        for j, weight in enumerate(self.weights()):
+            if self.strategy == "eapca":
+                first, last = low[:, j], high[:, j]
+            else:
+                cuts = np.concatenate(([-np.inf], self.cuts[j] if self.strategy == "sfa" else self.cuts, [np.inf]))
+                first, last = cuts[low[:, j].astype(int)], cuts[high[:, j].astype(int) + 1]
+            gap = np.maximum(first - upper[:, [j]], lower[:, [j]] - last)
+            np.maximum(gap, 0, out=gap)
+            gap *= gap
+            gap *= weight
+            total += gap
         return total
 
 
+def loose(limits: np.ndarray) -> np.ndarray:
+    """Bounds and distances are rounded differently."""
+    return limits + 1e-9 * (1 + limits)
+
+
+class Pruner:
+    """The pairs that nodes and words leave, for ``scan``; travels to the tasks."""
+
+    def __init__(self, summary: Summary, nodes: dict[str, np.ndarray], config: SearchConfig):
+        self.summary, self.nodes, self.config = summary, nodes, config
+
+    def start(self, q: np.ndarray):
+        s, nodes = self.summary, self.nodes
+        if s.blind(self.config):
+            return lambda part, a, limits: (np.arange(len(limits)), None)
+        upper, lower = s.ends(q, self.config)
+        place = {bytes(k): j for j, k in enumerate(nodes["key"])}
+        is_float = s.strategy == "eapca"
+        root = np.sqrt(s.weights())
+        tables = None if is_float else s.tables(upper, lower)
+        symbols = 0 if is_float else tables.shape[1]
+        by_product = not is_float and tables.shape[0] * symbols <= 512
+        last: list = [None]
+
+        def prune(part: pa.RecordBatch, a: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+            if last[0] is not part:
+                words = np.frombuffer(b"".join(part.column(2).to_pylist()), np.float64 if is_float else np.uint8).reshape(part.num_rows, -1)
+                coded = part.column(3).dictionary_encode()
+                here = np.array([place[bytes(k)] for k in coded.dictionary.to_pylist()])
+                last[:] = [part, words * root if is_float else kernels.one_hot(words, symbols) if by_product else words, here, coded.indices.to_numpy()]
+            _, words, here, of = last
+            limits = loose(limits)
+            b = a + len(limits)
+            near = ~(s.node_bounds(upper[a:b], lower[a:b], nodes["low"][here], nodes["high"][here]) > limits[:, None])
+            use = np.flatnonzero(near.any(axis=1))
+            if not len(use):
+                return use, None
+            near, limits = near[use], limits[use]
+            if is_float:
+                mask = not_beyond(upper[a + use] * root, words, limits)
+            else:
+                if by_product:
+                    bound = tables[:, :, a + use].reshape(-1, len(use)).T @ words.T
+                else:
+                    bound = np.zeros((len(use), len(words)), np.float32)
+                    for j in range(tables.shape[0]):
+                        bound += np.ascontiguousarray(tables[j][:, a + use]).take(words[:, j], axis=0).T
+                with np.errstate(over="ignore"):
+                    most = np.nextafter((limits * (1 + 4e-6)).astype(np.float32), np.float32(np.inf))  # single precision adds at most 1e-6
+                mask = ~(bound > most[:, None])
+            return use, mask if near.all() else mask & near[:, of]
+
+        return prune
+
+
+class Seeds:
+    """The pairs of each query and the rows of its nearest nodes, for ``scan``."""
+
+    def __init__(self, keys: np.ndarray, asked: np.ndarray, node: np.ndarray):
+        order = np.lexsort((asked, node))
+        asked, node = asked[order], node[order]
+        found, at = np.unique(node, return_index=True)
+        self.queries = {bytes(keys[j]): x for j, x in zip(found, np.split(asked, at[1:]), strict=True)}
+
+    def start(self, q: np.ndarray):
+        def prune(part: pa.RecordBatch, a: int, limits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            coded = part.column(3).dictionary_encode()
+            of = coded.indices.to_numpy()
+            wanted = [(j, x) for j, x in enumerate(self.queries.get(bytes(k)) for k in coded.dictionary.to_pylist()) if x is not None]
+            wanted = [(j, x[(x >= a) & (x < a + len(limits))] - a) for j, x in wanted]
+            use = np.unique(np.concatenate([x for _, x in wanted])) if wanted else np.zeros(0, np.int64)
+            mask = np.zeros((len(use), part.num_rows), bool)
+            for j, x in wanted:
+                mask[np.ix_(np.searchsorted(use, x), np.flatnonzero(of == j))] = True
+            return use, mask
+
+        return prune
+
+
 def learn(series: DataFrame, strategy: str, layout: Layout, dim: int, n: int) -> Summary:
     """Breakpoints from a sample of at most ``layout.sample`` rows (a hash of the id draws it); Gaussian ones need none."""
     symbols = 1 << (layout.alphabet_bits if strategy == "sfa" else layout.bits)
     if layout.normalized and strategy not in ("sfa", "eapca"):
         return Summary(strategy, layout, dim, kernels.gaussian_breakpoints(symbols))
     share = min(1.0, layout.sample / max(n, 1))
-    drawn = series.where(F.xxhash64(F.lit(11), "id").bitwiseAND(2**31 - 1) < int(share * 2**31)).select("series").limit(layout.sample)
-    x = np.array(sorted(r["series"] for r in drawn.collect()), dtype=np.float64)
-    if not len(x):
-        x = np.zeros((1, dim))
+    drawn = series.where(F.xxhash64(F.lit(11), "id").bitwiseAND(2**31 - 1) < int(share * 2**31)).select("series").limit(layout.sample).toArrow()  # packed: no object a number on the driver
+    x = matrix(drawn.column(0).combine_chunks(), dim) if drawn.num_rows else np.zeros((1, dim))
+    x = x[np.lexsort(x.T[::-1])]
     if strategy == "eapca":
         return Summary(strategy, layout, dim, kernels.paa(x, layout.segments).mean(axis=0))
     if strategy != "sfa":
@@ -126,9 +208,7 @@ class Index:
     rows: DataFrame  # id, series, word, node
     nodes: dict[str, np.ndarray] = field(repr=False)  # key, size, low, high
     n: int = 0
-
-    def word_rows(self) -> DataFrame:
-        return self.rows.select("id", "word", "node")
+    prefix: int = 0  # bits of the key that name a node
 
 
 def _encode(summary: Summary):
@@ -194,16 +274,34 @@ def _nodes(rows: DataFrame, summary: Summary) -> dict[str, np.ndarray]:
 
 
 def _prefix_length(coded: DataFrame, layout: Layout, n: int, width: int) -> int:
-    """The shortest prefix of the key that cuts the rows into nodes of ``leaf_size`` on average; counted, not guessed."""
+    """The bits of the shortest prefix of the key that cuts the rows into nodes of ``leaf_size`` on average; counted, not guessed."""
     if n <= layout.leaf_size:
         return 0
-    counts = coded.agg(*(F.approx_count_distinct(F.substring("key", 1, i)).alias(f"p{i}") for i in range(1, width + 1))).first()
-    for i in range(1, width + 1):
-        if counts[f"p{i}"] > MOST_NODES // 2:
-            return i - 1
-        if counts[f"p{i}"] * layout.leaf_size >= n:
-            return i
-    return width
+
+    def first(lengths: list[int]) -> tuple[int, bool]:
+        """The first of the lengths that is enough, or the last before there are too many nodes; whether it is enough."""
+        counts, before = coded.agg(*(F.approx_count_distinct(node(i)).alias(f"p{i}") for i in lengths)).first(), lengths[0] - (lengths[1] - lengths[0])
+        for i in lengths:
+            if counts[f"p{i}"] > MOST_NODES // 2:
+                return before, False
+            if counts[f"p{i}"] * layout.leaf_size >= n:
+                return i, True
+            before = i
+        return before, True
+
+    whole, enough = first(list(range(8, 8 * width + 1, 8))) if width > 1 else (8, True)
+    whole += 0 if enough else 8
+    return max(0, first(list(range(whole - 7, whole + 1)))[0])
+
+
+def node(bits: int) -> Column:
+    """The first bits of the key, filled up to bytes."""
+    whole, rest = divmod(bits, 8)
+    head = F.substring("key", 1, whole) if whole else F.lit(b"")
+    if not rest:
+        return head
+    byte = F.conv(F.hex(F.substring("key", whole + 1, 1)), 16, 10).cast("long").bitwiseAND(256 - (1 << (8 - rest)))
+    return F.concat(head, F.unhex(F.lpad(F.hex(byte), 2, "0")))
 
 
 def build(series: DataFrame, strategy: str, layout: Layout | None = None, store=None) -> Index:
@@ -226,9 +324,9 @@ def build(series: DataFrame, strategy: str, layout: Layout | None = None, store=
     if strategy == "multiary" and n:
         coded = coded.withColumn("key", F.concat(*(F.substring("key", int(s) + 1, 1) for s in _spread_segments(coded, layout))))
     length = _prefix_length(coded, layout, n, width) if width else 0
-    rows = coded.withColumn("node", F.substring("key", 1, length) if length else F.lit(b"")).orderBy("key", "id").select("id", "series", "word", "node")
+    rows = coded.withColumn("node", node(length)).orderBy("key", "id").select("id", "series", "word", "node")
     rows = store(rows) if store else rows.cache()
-    return Index(summary, rows, _nodes(rows, summary), n)
+    return Index(summary, rows, _nodes(rows, summary), n, length)
 
 
 def _spread_segments(coded: DataFrame, layout: Layout) -> list[int]:
@@ -245,14 +343,10 @@ def append(index: Index, series: DataFrame, store=None) -> Index:
         return index
     if dim != index.summary.dim:
         raise ValueError(f"series must have length {index.summary.dim}")
-    key = len(index.nodes["key"][0]) if len(index.nodes["key"]) else 0
     coded = encode(series, index.summary)
-    if index.summary.strategy == "multiary" and key:
-        coded = coded.withColumn("key", F.lit(b""))
-    node = F.substring("key", 1, key) if key and index.summary.strategy != "multiary" else F.lit(b"")
-    rows = coded.withColumn("node", node).select("id", "series", "word", "node")
+    rows = coded.withColumn("node", node(0 if index.summary.strategy == "multiary" else index.prefix)).select("id", "series", "word", "node")
     rows = index.rows.unionByName(store(rows) if store else rows.cache())
-    return Index(index.summary, rows, _nodes(rows, index.summary), index.n + added)
+    return Index(index.summary, rows, _nodes(rows, index.summary), index.n + added, index.prefix)
 
 
 def search(index: Index, queries, config: SearchConfig) -> DataFrame:
@@ -262,89 +356,48 @@ def search(index: Index, queries, config: SearchConfig) -> DataFrame:
     qids, q = as_queries(queries, s.dim)
     if config.type is QueryType.TOP_K and config.k > index.n:
         raise ValueError("k is more than the number of series")
-    nodes = index.nodes
-    node_bounds = np.array([s.node_bound(v, config, nodes["low"], nodes["high"]) for v in q]).reshape(len(q), len(nodes["key"]))
-    limits = np.full(len(q), config.r)
-    if config.type is QueryType.TOP_K:
-        limits = _seed(index, qids, q, config, node_bounds)
-    slack = 1e-9 * (1 + limits)  # bounds and distances are rounded differently
-    wanted = {bytes(k): np.flatnonzero(node_bounds[:, j] <= limits + slack) for j, k in enumerate(nodes["key"])}
-    wanted = {k: v for k, v in wanted.items() if v.size}
-    rows, whole = index.word_rows(), index.rows
-    if len(wanted) < len(nodes["key"]) <= 2000:
-        rows, whole = (x.where(F.col("node").isin(list(wanted))) for x in (rows, whole))
-    sent = rows.sparkSession.sparkContext.broadcast((qids, q, limits + slack, wanted))
-    is_float = s.strategy == "eapca"
-
-    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qids, q, limits, wanted = sent.value
-        bounds = [s.bound(v, config) for v in q]
-        for b in batches:
-            words = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float64 if is_float else np.uint8).reshape(b.num_rows, -1) if b.num_rows else None
-            if words is None:
-                continue
-            ids, members = b.column(0).to_numpy(), {}
-            for i, key in enumerate(b.column(2).to_pylist()):
-                members.setdefault(key, []).append(i)
-            out_q, out_i = [], []
-            for key, own in members.items():
-                own = np.array(own)
-                for j in wanted.get(bytes(key), ()):
-                    hit = own[bounds[j](words[own]) <= limits[j]]
-                    out_q.append(np.full(len(hit), qids[j]))
-                    out_i.append(ids[hit])
-            if out_q:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_q), pa.int64()), pa.array(np.concatenate(out_i), pa.int64())], ["qid", "id"])
-
-    candidates = rows.mapInArrow(prune, "qid long, id long")
-    pairs = candidates.join(whole.select("id", "series"), "id").select("qid", "id", "series")
-    return finish(_refine(pairs, qids, q, config), config)
+    bounds = _seed(index, qids, q, config) if config.type is QueryType.TOP_K else None
+    rows, n = index.rows, len(index.nodes["key"])
+    if n <= 2000 and n * len(q) <= MOST_BOUNDS:  # few queries may leave few nodes, and files have statistics of these
+        limits = np.full(len(q), config.r) if bounds is None else bounds
+        wanted = [(x <= loose(limits[a : a + len(x)])[:, None]).any(axis=0) for a, x in _node_bounds(index, q, config)][0]
+        if not wanted.all():
+            rows = rows.where(F.col("node").isin([bytes(k) for k in index.nodes["key"][wanted]]))
+    return finish(scan(rows, qids, q, config, bounds, Pruner(s, index.nodes, config)), config)
+
+
+def _node_bounds(index: Index, q: np.ndarray, config: SearchConfig) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, bounds by query and node), so many queries at once that memory doesn't grow with them."""
+    s, low, high = index.summary, index.nodes["low"], index.nodes["high"]
+    step = max(1, MOST_BOUNDS // max(1, len(low)))
+    for a in range(0, len(q), step):
+        part = q[a : a + step]
+        yield a, np.zeros((len(part), len(low))) if s.blind(config) else s.node_bounds(*s.ends(part, config), low, high)
 
 
 def candidate_pairs(index: Index, queries, config: SearchConfig) -> int:
     """How many (query, row) pairs are in nodes that are not pruned, of ``index.n`` times the queries."""
-    s = index.summary
-    qids, q = as_queries(queries, s.dim)
-    nodes = index.nodes
-    node_bounds = np.array([s.node_bound(v, config, nodes["low"], nodes["high"]) for v in q]).reshape(len(q), len(nodes["key"]))
-    limits = _seed(index, qids, q, config, node_bounds) if config.type is QueryType.TOP_K else np.full(len(q), config.r)
-    return int(((node_bounds <= limits[:, None]) * nodes["size"][None, :]).sum())
+    qids, q = as_queries(queries, index.summary.dim)
+    limits = _seed(index, qids, q, config) if config.type is QueryType.TOP_K else np.full(len(q), config.r)
+    return sum(int(((x <= limits[a : a + len(x), None]) * index.nodes["size"][None, :]).sum()) for a, x in _node_bounds(index, q, config))
 
 
-def _seed(index: Index, qids: list[int], q: np.ndarray, config: SearchConfig, node_bounds: np.ndarray) -> np.ndarray:
+def _seed(index: Index, qids: list[int], q: np.ndarray, config: SearchConfig) -> np.ndarray:
     """For each query the exact k-th distance among the nearest nodes that hold k rows together."""
-    order = np.argsort(node_bounds, axis=1, kind="stable")
-    near: set[bytes] = set()
-    for o in order:
-        have = 0
-        for j in o:
-            near.add(bytes(index.nodes["key"][j]))
-            have += index.nodes["size"][j]
-            if have >= config.k:
-                break
-    rows = index.rows.select("id", "series") if len(near) == len(index.nodes["key"]) else index.rows.where(F.col("node").isin(list(near))).select("id", "series")
-    found = finish(scan(rows, qids, q, config), config).where(F.col("rank") == config.k).select("qid", "dist").collect()  # one number a query
-    kth = {r["qid"]: r["dist"] for r in found}
+    asked, near = [], []
+    for a, x in _node_bounds(index, q, config):
+        have, open_ = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(open_):
+            j = x[open_].argmin(axis=1)
+            asked.append(open_ + a)
+            near.append(j)
+            x[open_, j] = np.inf
+            have[open_] += index.nodes["size"][j]
+            open_ = open_[have[open_] < config.k]
+    seeds = Seeds(index.nodes["key"], np.concatenate(asked), np.concatenate(near))
+    rows = index.rows
+    if len(seeds.queries) <= min(2000, len(index.nodes["key"]) // 2):
+        rows = rows.where(F.col("node").isin(list(seeds.queries)))
+    found = finish(scan(rows, qids, q, config, pruner=seeds), config).where(F.col("rank") == config.k).select("qid", "dist").toArrow()  # one number a query
+    kth = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     return np.array([kth.get(i, np.inf) for i in qids])
-
-
-def _refine(pairs: DataFrame, qids: list[int], q: np.ndarray, config: SearchConfig) -> DataFrame:
-    """Exact distances of (qid, id, series)."""
-    from tessera.operators.search import distance
-
-    sent = pairs.sparkSession.sparkContext.broadcast((np.array(qids), q))
-    measure = distance(config, q.shape[1])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        place = {int(i): j for j, i in enumerate(ids)}
-        for b in batches:
-            if not b.num_rows:
-                continue
-            asked, x, dist = b.column(0).to_numpy(), matrix(b.column(2), q.shape[1]), np.empty(b.num_rows)
-            for i in np.unique(asked):
-                own = asked == i
-                dist[own] = measure(q[place[int(i)]], x[own])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(dist)], ["qid", "id", "dist"])
-
-    return pairs.mapInArrow(run, "qid long, id long, dist double")

@@ -167,3 +167,47 @@ def test_pruning_prunes(spark):
     i = index.build(from_numpy(spark, x), "isax", Layout(segments=8, bits=4, leaf_size=50))
     assert index.candidate_pairs(i, x[:4], SearchConfig(k=5)) < 4 * 1000 / 3
     check_top_k(index.search(i, x[:4], SearchConfig(k=5)).collect(), x[:4], x, 5)
+
+
+def test_index_search_shuffles_only_what_it_found(spark):
+    x, q = data()
+    for strategy in ("sax", "sfa", "eapca"):
+        i = index.build(from_numpy(spark, x), strategy, LAYOUT)
+        for config in (SearchConfig(k=7), in_range(120.0)):
+            plan = index.search(i, q, config)._jdf.queryExecution().optimizedPlan().toString()
+            assert "Join" not in plan
+
+
+def test_nodes_hold_about_a_leaf_and_bounds_are_made_in_parts(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(4000, 16)).astype(np.float32)
+    for strategy in ("isax", "zorder"):
+        i = index.build(from_numpy(spark, x), strategy, Layout(segments=16, bits=4, leaf_size=50))
+        assert 40 <= len(i.nodes["key"]) <= 320 and i.nodes["size"].sum() == 4000
+    i = index.append(i, from_numpy(spark, x[:10] + np.float32(0.5), 4000))
+    assert len(i.nodes["key"]) <= 320
+    monkeypatch.setattr(index, "MOST_BOUNDS", 100)
+    check_top_k(index.search(i, x[:6], SearchConfig(k=5)).collect(), x[:6], np.concatenate([x, x[:10] + np.float32(0.5)]), 5)
+
+
+def test_blocks_of_rows_and_queries_lose_no_pair(spark, monkeypatch):
+    x, q = data(300, 24, 11)
+    q = np.concatenate([q, x[:3]])
+    for name, size in (("ROWS", 37), ("QUERIES", 3), ("PAIRS", 50), ("FIRST", 2)):
+        monkeypatch.setattr(search, name, size)
+    for scale in (1e-6, 1.0, 1e18):
+        y, p = (x * np.float32(scale)), (q * np.float32(scale)).astype(np.float64)
+        for metric, config in (("l2", SearchConfig(k=6)), ("dtw", SearchConfig(k=6, distance=DistanceType.DTW, band=3))):
+            meter, best, found = search.Meter(p, config), search.Best(len(p), 6), set()
+            r = dtw(p[0], y[5], 3 if metric == "dtw" else 0) * (1 + 1e-9)
+            for a in range(0, 300, 37):
+                block = search.Block(y[a : a + 37].astype(np.float64))
+                of, rows = search._may_be_near(meter, None, None, block, 0, best.bound)
+                of, rows, dist = meter.within(of, rows, block, best.bound)
+                best.add(of, rows + a, dist)
+                limits = np.full(len(p), r)
+                of, rows, _ = meter.within(*search._may_be_near(meter, None, None, block, 0, limits), block, limits)
+                found |= set(zip(of.tolist(), (rows + a).tolist(), strict=True))
+            for i in range(len(p)):
+                far = sorted((dtw(p[i], v, 3 if metric == "dtw" else 0), j) for j, v in enumerate(y))
+                assert [j for _, j in far[:6]] == best.ids[best.of == i].tolist()
+                assert {j for d, j in far if d <= r} == {j for k, j in found if k == i}
