@@ -57,3 +57,9 @@ def test_every_row_is_transformed(spark, name):
     rows = sorted(map(tuple, got.collect()))
     assert np.allclose(np.array(rows, float), np.array(want, float), atol=2e-5)
     assert {r[0] for r in rows} == {r[0] for r in db.execute("SELECT vec_id FROM embeddings").fetchall()}
+
+
+@pytest.mark.parametrize("name", ["lb_keogh_pairs", "lb_sax_pairs", "lb_violations", "user_series_topk"])
+def test_pairs_are_made_by_blocks_not_by_a_join(spark, name):
+    plan = __spark_entry__.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan
