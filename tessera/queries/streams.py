@@ -85,7 +85,7 @@ def user_series(spark: SparkSession, d: str) -> DataFrame:
 def user_series_top_k(spark: SparkSession, d: str) -> DataFrame:
     s = user_series(spark, d)
     q = s.where(asked()).select(F.col("id").alias("qid"), F.col("series").alias("q"))
-    return rounded(in_blocks(q, lambda b: search.search_native(s, b, SearchConfig(k=5))))
+    return rounded(in_blocks(q, lambda b: search.search(s, b, SearchConfig(k=5))))
 
 
 USER_SQL = f"""WITH u AS (SELECT DISTINCT user_id AS id FROM events), g AS (SELECT id, i FROM u, range(0, {DAYS}) t(i)),
