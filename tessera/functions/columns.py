@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -128,6 +129,14 @@ def l2(a: Column, b: Column) -> Column:
     return _sum(F.zip_with(doubles(a), doubles(b), lambda x, y: (x - y) * (x - y)))
 
 
+def l2_compiled(a: Column, b: Column, dim: int) -> Column:
+    """The same sum for arrays of ``dim`` doubles, an expression an element: no lambda, so it is compiled; long series keep the lambda."""
+    if dim > 128:
+        return l2(a, b)
+    gaps = [F.get(a, i) - F.get(b, i) for i in range(dim)]
+    return reduce(lambda acc, g: acc + g * g, gaps, F.lit(0.0))
+
+
 def lb_keogh(upper: Column, lower: Column, s: Column) -> Column:
     over = _sum(F.zip_with(doubles(s), upper, lambda x, u: F.greatest(F.lit(0.0), x - u) * F.greatest(F.lit(0.0), x - u)))
     under = _sum(F.zip_with(doubles(s), lower, lambda x, v: F.greatest(F.lit(0.0), v - x) * F.greatest(F.lit(0.0), v - x)))

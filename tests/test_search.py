@@ -211,3 +211,14 @@ def test_blocks_of_rows_and_queries_lose_no_pair(spark, monkeypatch):
                 far = sorted((dtw(p[i], v, 3 if metric == "dtw" else 0), j) for j, v in enumerate(y))
                 assert [j for _, j in far[:6]] == best.ids[best.of == i].tolist()
                 assert {j for d, j in far if d <= r} == {j for k, j in found if k == i}
+
+
+def test_native_top_k_sorts_few_pairs_of_each_query(spark):
+    x = np.random.default_rng(21).integers(-2, 3, size=(900, 12)).astype(np.float32)  # many ties
+    df, qf = from_numpy(spark, x), queries_from_numpy(spark, x[:5])
+    got = search.search_native(df, qf, SearchConfig(k=9))
+    assert "NestedLoop" not in (plan := got._jdf.queryExecution().executedPlan().toString()) and "Cartesian" not in plan and "MapInArrow" not in plan
+    want = [(i, k + 1, *sorted((float(((v - x[i]) ** 2).sum()), j) for j, v in enumerate(x))[k][::-1]) for i in range(5) for k in range(9)]
+    assert sorted(map(tuple, got.collect())) == want
+    few = search.search_native(df.where("id < 4"), qf, SearchConfig(k=9)).collect()  # fewer rows than k
+    assert len(few) == 20
