@@ -222,3 +222,16 @@ def test_native_top_k_sorts_few_pairs_of_each_query(spark):
     assert sorted(map(tuple, got.collect())) == want
     few = search.search_native(df.where("id < 4"), qf, SearchConfig(k=9)).collect()  # fewer rows than k
     assert len(few) == 20
+
+
+@pytest.mark.parametrize("dim", [24, 130])
+def test_native_range_loses_no_pair_at_any_scale(spark, dim):
+    x, _ = data(80, dim, 12)
+    for scale in (1e-6, 1.0, 1e15):
+        y = x * np.float32(scale)
+        df, qf = from_numpy(spark, y), queries_from_numpy(spark, y[:3])
+        dist = [[float(np.cumsum((v.astype(float) - y[i].astype(float)) ** 2)[-1]) for v in y] for i in range(3)]
+        for r in (0.0, dist[0][7], 1e300):
+            got = search.search_native(df.unionByName(df.limit(1).selectExpr("99L AS id", "CAST(NULL AS array<float>) AS series")), qf, in_range(r))
+            assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(tuple, got.collect())) == [(i, j, d) for i in range(3) for j, d in enumerate(dist[i]) if d <= r]
