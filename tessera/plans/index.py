@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DistanceType, Layout, QueryType, SearchConfig
 from tessera.functions import kernels
-from tessera.operators.search import envelopes, finish, matrix, not_beyond, scan
+from tessera.operators.search import envelopes, finish, matrix, not_beyond, repeats, scan
 from tessera.operators.validate import as_queries, check_series
 
 STRATEGIES = ("sax", "isax", "zorder", "multiary", "sfa", "eapca")
@@ -209,6 +209,7 @@ class Index:
     nodes: dict[str, np.ndarray] = field(repr=False)  # key, size, low, high
     n: int = 0
     prefix: int = 0  # bits of the key that name a node
+    once: bool = False  # whether ids are known to have one row each
 
 
 def _encode(summary: Summary):
@@ -326,7 +327,7 @@ def build(series: DataFrame, strategy: str, layout: Layout | None = None, store=
     length = _prefix_length(coded, layout, n, width) if width else 0
     rows = coded.withColumn("node", node(length)).orderBy("key", "id").select("id", "series", "word", "node")
     rows = store(rows) if store else rows.cache()
-    return Index(summary, rows, _nodes(rows, summary), n, length)
+    return Index(summary, rows, _nodes(rows, summary), n, length, not repeats(rows))
 
 
 def _spread_segments(coded: DataFrame, layout: Layout) -> list[int]:
@@ -346,7 +347,7 @@ def append(index: Index, series: DataFrame, store=None) -> Index:
     coded = encode(series, index.summary)
     rows = coded.withColumn("node", node(0 if index.summary.strategy == "multiary" else index.prefix)).select("id", "series", "word", "node")
     rows = index.rows.unionByName(store(rows) if store else rows.cache())
-    return Index(index.summary, rows, _nodes(rows, index.summary), index.n + added, index.prefix)
+    return Index(index.summary, rows, _nodes(rows, index.summary), index.n + added, index.prefix, index.once and not repeats(rows))
 
 
 def search(index: Index, queries, config: SearchConfig) -> DataFrame:
@@ -363,7 +364,7 @@ def search(index: Index, queries, config: SearchConfig) -> DataFrame:
         wanted = [(x <= loose(limits[a : a + len(x)])[:, None]).any(axis=0) for a, x in _node_bounds(index, q, config)][0]
         if not wanted.all():
             rows = rows.where(F.col("node").isin([bytes(k) for k in index.nodes["key"][wanted]]))
-    return finish(scan(rows, qids, q, config, bounds, Pruner(s, index.nodes, config)), config)
+    return finish(scan(rows, qids, q, config, bounds, Pruner(s, index.nodes, config)), config, index.once)
 
 
 def _node_bounds(index: Index, q: np.ndarray, config: SearchConfig) -> Iterator[tuple[int, np.ndarray]]:
@@ -398,6 +399,6 @@ def _seed(index: Index, qids: list[int], q: np.ndarray, config: SearchConfig) ->
     rows = index.rows
     if len(seeds.queries) <= min(2000, len(index.nodes["key"]) // 2):
         rows = rows.where(F.col("node").isin(list(seeds.queries)))
-    found = finish(scan(rows, qids, q, config, pruner=seeds), config).where(F.col("rank") == config.k).select("qid", "dist").toArrow()  # one number a query
+    found = finish(scan(rows, qids, q, config, pruner=seeds), config, index.once).where(F.col("rank") == config.k).select("qid", "dist").toArrow()  # one number a query
     kth = dict(zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True))
     return np.array([kth.get(i, np.inf) for i in qids])

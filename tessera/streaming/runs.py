@@ -236,7 +236,7 @@ class RunStore:
         rows = self._read(runs)
         length = indexes._prefix_length(rows, layout, stored, -(-layout.segments * layout.bits // 8))
         rows = rows.withColumn("node", indexes.node(length))
-        return indexes.Index(self.summary, rows.select("id", "series", "word", "node"), indexes._nodes(rows, self.summary), stored, length)
+        return indexes.Index(self.summary, rows.select("id", "series", "word", "node"), indexes._nodes(rows, self.summary), stored, length, not exhaustive.repeats(rows))
 
     def search_recent(self, queries, k: int, window: int) -> DataFrame:
         """Top-k among the last ``window`` series; fewer rows if fewer qualify."""

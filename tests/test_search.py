@@ -235,3 +235,16 @@ def test_native_range_loses_no_pair_at_any_scale(spark, dim):
             got = search.search_native(df.unionByName(df.limit(1).selectExpr("99L AS id", "CAST(NULL AS array<float>) AS series")), qf, in_range(r))
             assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
             assert sorted(map(tuple, got.collect())) == [(i, j, d) for i in range(3) for j, d in enumerate(dist[i]) if d <= r]
+
+
+@pytest.mark.parametrize("strategy", [None, "isax", "eapca"])
+def test_range_exchanges_no_pair_unless_ids_repeat(spark, strategy):
+    x, q = data(200, 16, 13)
+    df = from_numpy(spark, x)
+    for series in (df, df.unionByName(df.where("id < 50"))):
+        found = planner.search(series, q, in_range(40.0), LAYOUT, strategy or "exhaustive")
+        exchanged = "Aggregate" in found._jdf.queryExecution().optimizedPlan().toString()
+        assert exchanged == (series is not df)
+        rows = found.collect()
+        check_range(rows, q, x, 40.0)
+        assert len(rows) == len({(r["qid"], r["id"]) for r in rows}) > 0
