@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.config import DistanceType, Layout, QueryType, SearchConfig
 from tessera.functions import kernels
-from tessera.operators.search import envelopes, finish, matrix, not_beyond, repeats, scan
+from tessera.operators.search import QUERIES, envelopes, finish, matrix, not_beyond, repeats, scan
 from tessera.operators.validate import as_queries, check_series
 
 STRATEGIES = ("sax", "isax", "zorder", "multiary", "sfa", "eapca")
@@ -121,7 +121,7 @@ class Pruner:
         place = {bytes(k): j for j, k in enumerate(nodes["key"])}
         is_float = s.strategy == "eapca"
         root = np.sqrt(s.weights())
-        tables = None if is_float else s.tables(upper, lower)
+        tables = None if is_float else np.concatenate([s.tables(upper[a : a + QUERIES], lower[a : a + QUERIES]) for a in range(0, len(q), QUERIES)], axis=2)  # what is between is in double precision and larger
         symbols = 0 if is_float else tables.shape[1]
         by_product = not is_float and tables.shape[0] * symbols <= 512
         last: list = [None]

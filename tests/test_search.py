@@ -248,3 +248,19 @@ def test_range_exchanges_no_pair_unless_ids_repeat(spark, strategy):
         rows = found.collect()
         check_range(rows, q, x, 40.0)
         assert len(rows) == len({(r["qid"], r["id"]) for r in rows}) > 0
+
+
+def test_a_worker_prepares_many_queries_in_little_memory():
+    import tracemalloc
+
+    r = np.random.default_rng(6)
+    q, layout = r.normal(size=(20_000, 32)), Layout(segments=16, bits=4)
+    words = np.zeros((1, 16))
+    for strategy in ("multiary", "eapca"):
+        summary = index.Summary(strategy, layout, 32, np.zeros(16) if strategy == "eapca" else np.linspace(-1, 1, 15))
+        nodes = {"key": np.array([b""], object), "size": np.array([1]), "low": words, "high": words}
+        tracemalloc.start()
+        index.Pruner(summary, nodes, in_range(1.0)).start(q)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 80e6
