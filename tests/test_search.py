@@ -264,3 +264,53 @@ def test_a_worker_prepares_many_queries_in_little_memory():
         most = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert most < 80e6
+
+
+@pytest.mark.parametrize("band", [0, 3, 40])
+@pytest.mark.parametrize("scale", [1e-6, 1.0, 1e3])
+def test_tiles_of_rows_leave_few_pairs_and_lose_none(monkeypatch, band, scale):
+    r = np.random.default_rng(31)
+    x = r.normal(size=(2500, 24)) * scale
+    x[7], x[8], x[9] = 0, x[11] * (1 + 1e-9), x[11]
+    x[10, 3] *= 40  # cut at the ends of the integers
+    q, warped, warp = np.concatenate([x[7:12], r.normal(size=(4, 24)) * scale]), [], search.kernels.warp
+    want = np.stack([search.kernels.dtw(v, x, band) for v in q])
+    monkeypatch.setattr(search.kernels, "warp", lambda a, b, *c: warped.append(b.shape[1]) or warp(a, b, *c))
+    for rank, integers in ((0, True), (3, True), (3, False), (60, True), (60, False)):
+        meter, block = search.Meter(q, in_range(1.0, distance=DistanceType.DTW, band=band)), search.Block(x)
+        meter.integers_help = integers
+        limits, warped[:] = np.sort(want, axis=1)[:, rank] * (1 + 1e-9), []
+        of, rows = search._may_be_near(meter, None, None, block, 0, limits)
+        of, rows, dist = meter.within(of, rows, block, limits)
+        assert sorted(zip(of.tolist(), rows.tolist(), strict=True)) == [(i, j) for i, d in enumerate(want) for j in np.flatnonzero(d <= limits[i])]
+        assert (dist == want[of, rows]).all()
+        assert sum(warped) < 0.4 * want.size
+
+
+@pytest.mark.parametrize("m", [1, 2, 5, 40, 1500])
+def test_integers_bound_warping_from_below(m):
+    r = np.random.default_rng(m)
+    for top in (1e-200, 0.3, 1e15):
+        x, q = r.normal(size=(600, m)), r.normal(size=m)
+        x, q = x * (top / np.abs(x).max()), q * (top / np.abs(q).max())
+        want = search.kernels.dtw(q, x, 3)
+        for limit in (0.0, want.min(), np.median(want), want.max() * 10, 1e300):
+            scale, most = search.kernels.integer_scale(limit, top, m)
+            assert (scale == 0) == (m == 1500) and most < search.kernels.Tile.FULL
+            if scale:
+                tile = search.kernels.Tile(np.ascontiguousarray(search.kernels.integers(x, scale).T[::-1]), 3)
+                assert tile.within(search.kernels.integers(q, scale), most)[want <= limit].all()
+
+
+def test_warping_searches_over_blocks_of_many_rows(spark):
+    r = np.random.default_rng(32)
+    x = r.normal(size=(6000, 16)).astype(np.float32)
+    x[:40] = x[100]  # ties go to the smaller id
+    q, df = x[90:104], from_numpy(spark, x).coalesce(1)
+    want = [search.kernels.dtw(v.astype(float), x.astype(float), 3) for v in q]
+    built = index.build(df, "zorder", LAYOUT)
+    for run in (lambda c: search.search(df, q, c), lambda c: index.search(built, q, c)):
+        got = sorted((a["qid"], a["rank"], a["id"]) for a in run(SearchConfig(k=5, distance=DistanceType.DTW, band=3)).collect())
+        assert got == [(i, k + 1, int(j)) for i, d in enumerate(want) for k, j in enumerate(np.lexsort((np.arange(len(d)), d))[:5])]
+        got = sorted((a["qid"], a["id"]) for a in run(in_range(4.0, distance=DistanceType.DTW, band=3)).collect())
+        assert got == [(i, int(j)) for i, d in enumerate(want) for j in np.flatnonzero(d <= 4.0)]
